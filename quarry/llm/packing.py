@@ -27,17 +27,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import batched, doc_texts, parts
-from quarry.llm.kernels import chunks, ranges, strings
+from quarry.llm.kernels import chunks, ranges, strings, utf8
 
 BLOCK = 65536
 END_ID = 2
 #: Ids in a record before the next document starts another one.
 RECORD_IDS = 1 << 20
-#: Words whose ids a worker remembers.
-CACHE = 600_000
+#: Parts of words whose ids a worker remembers.
+CACHE = 400_000
 _PUNCTUATION = ".,!?;:#$%&*()"
-#: Below it, what counts as a letter is the same in every Unicode version.
-_LATIN_END = "\u0250"
+#: Letters in every Unicode version, none of which combines with what follows.
+_LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
 #: magic, format version, planes, blocks, ids
 _HEAD = struct.Struct("<4sBBII")
 
@@ -92,61 +92,83 @@ class Encoder:
     """Encodes texts with a tokenizers file whose tokens never cross white space.
 
     Such a text's ids are those of its space-separated words, one after another, so each
-    distinct word of a batch is encoded once.
+    distinct word is encoded once.  A word of letters and then punctuation is two tokens
+    of the file's splitter, and the file drops the case, so both parts are looked up.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            ends[i] = token.endswith("</w>")
+        self.ends = ends
         self.clear()
 
     def clear(self) -> None:
-        """Word -> its place; ids of places lie one after another in the pool."""
-        self.place: dict[str, int] = {}
-        self.cores: dict[str, tuple[int, ...]] = {"": ()}
-        self.first, self.counts, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _encode(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.cores[w] = tuple(e.ids)
-
-    def _learn(self, words: list[str]) -> None:
-        split, need = [], set()
-        for w in words:
-            # letters, then punctuation: two tokens of the splitter, and the case is dropped
-            core = w.rstrip(_PUNCTUATION)
-            if core.isalpha() and max(core) < _LATIN_END and (core != w or core.isascii()):
-                two = (core.lower() if core.isascii() else core, w[len(core) :])
-            else:
-                two = (w, "")
-            split.append(two)
-            need.update(x for x in two if x not in self.cores)
-        self._encode(list(need))
-        ids = [self.cores[a] + self.cores[b] for a, b in split]
-        for w in words:
-            self.place[w] = len(self.place)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum()))
+        """Part of a word -> its place; ids of places lie one after another in the pool."""
+        self.place: dict[str, int] = {"": 0}
+        self.first, self.counts, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, words: list[str], letters: bool) -> None:
+        if not words:
+            return
+        if letters:
+            # one text of many words: each is one token of the splitter, whose last id ends a word
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(words):
+                return self._learn(words, False)
+            counts = np.diff(ends, prepend=0)
+        else:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            counts = np.fromiter(map(len, each), np.int64, len(each))
+            ids = np.fromiter(itertools.chain.from_iterable(each), np.uint32, int(counts.sum()))
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
         self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
-        self.pool = np.concatenate([self.pool, new])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _places(self, parts: pa.Array, letters: np.ndarray | None = None) -> np.ndarray:
+        found = parts.dictionary_encode()
+        spelled = strings(found.dictionary)
+        if letters is None:
+            self._learn([w for w in spelled if w not in self.place], False)
+        else:
+            code = np.asarray(found.indices)
+            plain = np.zeros(len(spelled), bool)
+            plain[code] = letters
+            new = [(w, p) for w, p in zip(spelled, plain.tolist()) if w not in self.place]
+            plain_words = [w for w, p in new if p]
+            for a in range(0, len(plain_words), 2048):
+                self._learn(plain_words[a : a + 2048], True)
+            self._learn([w for w, p in new if not p], False)
+        return np.fromiter(map(self.place.__getitem__, spelled), np.int64, len(spelled))[np.asarray(found.indices)]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids and how many each text has."""
+        if len(self.place) > CACHE:
+            self.clear()
         texts = pc.replace_substring(pc.fill_null(column, ""), "\n", " ")
         lists = pc.split_pattern(texts, " ")
         words = lists.flatten().dictionary_encode()
-        spelled = strings(words.dictionary)
-        if len(self.place) > CACHE:
-            self.clear()
-        if new := [w for w in spelled if w not in self.place]:
-            self._learn(new)
-        place = np.fromiter(map(self.place.__getitem__, spelled), np.int64, len(spelled))
+        whole = words.dictionary
+        core = pc.utf8_rtrim(whole, characters=_PUNCTUATION)
+        letters = pc.match_substring_regex(core, _LETTERS)
+        flags = np.asarray(letters)
+        core = pc.if_else(letters, pc.ascii_lower(core), whole)
+        raw, at = utf8(whole)
+        tail = np.asarray(pc.binary_length(whole), np.int64) - np.asarray(pc.binary_length(core), np.int64)
+        cut = np.concatenate([[0], np.cumsum(tail)])
+        data = raw[ranges(at[1:] - tail, tail)]
+        suffix = pa.LargeStringArray.from_buffers(len(tail), pa.py_buffer(cut.tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())
+        place = np.stack([self._places(core, flags), self._places(suffix)], axis=1)
         code = np.asarray(words.indices)
-        counts, first = self.counts[place][code], self.first[place][code]
-        flat = self.pool[ranges(first, counts)]
-        ends = np.concatenate([[0], np.cumsum(counts)])
+        each = place[code].ravel()
+        counts = self.counts[each]
+        flat = self.pool[ranges(self.first[each], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts.reshape(-1, 2).sum(axis=1))])
         at = np.asarray(lists.offsets, np.int64)
         return flat, np.diff(ends[at - at[0]])
 
