@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quarry.plans import flows, lexical, vector
+
+QUERIES: dict = lexical.Q | vector.Q | flows.Q
+ORACLES: dict = lexical.O | vector.O | flows.O
