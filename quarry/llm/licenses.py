@@ -12,6 +12,8 @@ without any detection the labels are empty and the score is 0.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from quarry.llm.common import doc_texts
 #: Phrase, label.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same words before lower-casing; the commonest characters are asked for first.
+_ANY_WORD = r"[a-z0-9A-Z\x{80}-\x{10FFFF}]++"
 
 # label | priority | keyword | patterns over the joined words, each a rule of its own, split by " ;; "
 _TEXT = r"""
@@ -61,7 +64,8 @@ agpl | 65 | agpl | gnu agpl ;; (the|under) agpl
 bsd-3-clause | 95 | bsd | (3|three) clause bsd ;; bsd (3|three) clause ;; new bsd licen[cs]e ;; modified bsd licen[cs]e ;; revised bsd licen[cs]e
 bsd-2-clause | 95 | bsd | (2|two) clause bsd ;; bsd (2|two) clause ;; simplified bsd licen[cs]e ;; freebsd licen[cs]e
 bsd-4-clause | 95 | bsd | (4|four) clause bsd ;; bsd (4|four) clause ;; original bsd licen[cs]e
-0bsd | 96 | bsd | zero clause bsd ;; 0bsd ;; bsd zero clause
+0bsd | 96 | bsd | zero clause bsd ;; bsd zero clause
+0bsd | 96 | 0bsd | 0bsd
 bsd | 60 | bsd | bsd licen[cs]e ;; bsd style licen[cs]e ;; bsd licensed ;; under (the )?bsd ;; licen[cs]e bsd
 bsd-3-clause | 96 | neither the name | neither the name of .{0,80}nor the names of its contributors may be used
 bsd | 85 | redistribution and use | redistribution and use in source and binary forms with or without modification are permitted
@@ -240,16 +244,21 @@ def rules() -> list[tuple[int, str, int, str, str]]:
 def gate(signatures: list[tuple[int, str, int, str, str]]) -> str:
     """A pattern that any text with a detection matches: a word of each rule's keyword.
 
-    Rules that all need the word license share one test; words of up to three letters
-    have to stand alone, but for those that versions are written onto.
+    Tried at the starts of words only, and grouped by first letter, so a text costs a few
+    steps a word.  Rules that all need the word license share one test; words of up to
+    three letters have to stand alone, but for those that versions are written onto.
     """
-    out = {"licen"}
+    letter = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+    words = {"licen"}
     for _, _, _, keyword, pattern in signatures:
         if "licen" not in pattern:
             word = max(keyword.split(), key=len)
             alone = len(word) <= 3 and word not in ("gpl", "mpl", "bsd")
-            out.add(rf"(?<![0-9A-Za-z]){word}(?![0-9A-Za-z])" if alone else word)
-    return f"(?i){'|'.join(sorted(out))}"
+            words.add(f"{word}(?!{letter})" if alone else word)
+    first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        first.setdefault(w[0], []).append(w[1:])
+    return f"(?i)(?<!{letter})(?:{'|'.join(f'{c}(?:{"|".join(rest)})' for c, rest in first.items())})"
 
 
 def _lower(c: Column) -> Column:
@@ -275,8 +284,27 @@ def places(joined: Column, pattern: Column) -> Column:
     return F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), start, step, lambda s: s["found"])
 
 
-def _labelled(found: Column, name: str) -> Column:
-    return F.transform(found, lambda x: F.struct(x["b"].alias("b"), F.lit(name).alias("label")))
+def _base(joined: Column, phrase: str, name: str) -> Column:
+    found = F.transform(places(joined, F.lit(phrase)), lambda x: F.struct(x["b"].alias("b"), F.lit(name).alias("label")))
+    return F.when(F.contains(joined, F.lit(phrase)), found).otherwise(F.array().cast("array<struct<b:int,label:string>>"))
+
+
+def _let(value: Column, body) -> Column:
+    """The body over a value worked out once: a plain column would be put in place of each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _token(keyword: str) -> str:
+    return max(keyword.split(), key=len)
+
+
+def tokens(joined: Column, signatures: list[tuple[int, str, int, str, str]]) -> Column:
+    """Which keyword tokens begin words: one pass, longer tokens first."""
+    words = sorted({_token(k) for _, _, _, k, _ in signatures}, key=lambda w: (w[0], -len(w), w))
+    first: dict[str, list[str]] = {}
+    for w in words:
+        first.setdefault(w[0], []).append(w[1:])
+    return F.array_distinct(F.regexp_extract_all(joined, F.lit(f" ({'|'.join(f'{c}(?:{"|".join(rest)})' for c, rest in first.items())})"), F.lit(1)))
 
 
 def scan_licenses(docs: DataFrame, signatures: list[tuple[int, str, int, str, str]] | None = None) -> DataFrame:
@@ -286,10 +314,16 @@ def scan_licenses(docs: DataFrame, signatures: list[tuple[int, str, int, str, st
     rows = doc_texts(docs).select("doc_id", F.regexp_count(text, F.lit(_ANY_WORD)).cast("long").alias("n_words"), F.when(text.rlike(gate(signatures)), text).alias("some"))
     joined = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(_lower(F.col("some")), F.lit(_WORD), F.lit(0)), " "), F.lit(" "))
     rows = rows.select("doc_id", "n_words", joined.alias("j"))
-    base = F.concat(*(_labelled(places(F.col("j"), F.lit(p)), name) for p, name in BASE))
-    table = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(n).alias("label"), F.lit(p).alias("p"), F.lit(k).alias("k"), F.lit(x).alias("x")) for o, n, p, k, x in signatures))
-    due = F.filter(table, lambda r: F.contains(F.col("j"), r["k"]))
-    found = F.flatten(F.transform(due, lambda r: F.transform(places(F.col("j"), r["x"]), lambda x: F.struct(r["p"].alias("p"), x["b"].alias("b"), x["e"].alias("e"), r["o"].alias("o"), r["label"].alias("label")))))
+    base = F.concat(*(_base(F.col("j"), p, name) for p, name in BASE))
+    # one constant, folded before execution
+    table = F.from_json(F.lit(json.dumps([dict(o=o, label=n, p=p, k=k, t=_token(k), x=x) for o, n, p, k, x in signatures])), "array<struct<o:int,label:string,p:int,k:string,t:string,x:string>>")
+    j = F.col("j")
+
+    def detections(present: Column) -> Column:
+        due = F.filter(table, lambda r: F.exists(present, lambda t: F.startswith(t, r["t"])) & F.contains(j, r["k"]))
+        return F.flatten(F.transform(due, lambda r: F.transform(places(j, r["x"]), lambda x: F.struct(r["p"].alias("p"), x["b"].alias("b"), x["e"].alias("e"), r["o"].alias("o"), r["label"].alias("label")))))
+
+    found = _let(tokens(j, signatures), detections)
     there = F.col("j").isNotNull()
     rows = rows.select("doc_id", "n_words", F.when(there, base).alias("base"), F.when(there, found).alias("found"))
 
