@@ -11,6 +11,7 @@ rule and gets the model's verdict on the empty strings; repeated urls get one ro
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,7 +140,7 @@ def train(spark: SparkSession, table=TRAINING_URLS) -> tuple[list[float], float]
 
 def probability(host: Column, path: Column, weights: list[float], base: float) -> Column:
     at = buckets_of(host, path)
-    table = F.lit(weights)
+    table = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # one constant, folded before execution
     total = F.aggregate(at, F.lit(0.0), lambda s, k: s + F.element_at(table, k + 1))
     return 1 / (1 + F.exp(-(F.lit(base) + total / F.sqrt(F.greatest(F.size(at), F.lit(1))))))
 
