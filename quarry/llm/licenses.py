@@ -13,6 +13,7 @@ without any detection the labels are empty and the score is 0.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -237,7 +238,14 @@ def rules() -> list[tuple[int, str, int, str, str]]:
     out = []
     for line in _TEXT.strip().splitlines():
         label, priority, keyword, patterns = (x.strip() for x in line.split(" | "))
-        out += [(len(out) + i, label, int(priority), keyword, p.strip()) for i, p in enumerate(patterns.split(" ;; "))]
+        for pattern in patterns.split(" ;; "):
+            always = re.sub(r"\([^()]*\)\??", "#", pattern.strip())
+            if keyword not in always:
+                # this wording lacks the line's keyword: its own longest certain word gates it
+                keyword_here = max(re.findall(r"(?<![a-z0-9])[a-z0-9]{2,}(?![a-z0-9?\[])", always), key=len, default="licen")
+            else:
+                keyword_here = keyword
+            out.append((len(out), label, int(priority), keyword_here, pattern.strip()))
     return out
 
 
