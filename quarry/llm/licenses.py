@@ -259,7 +259,7 @@ def gate(signatures: list[tuple[int, str, int, str, str]]) -> str:
     letter = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
     words = {"licen"}
     for _, _, _, keyword, pattern in signatures:
-        if not re.search(r"(?<![a-z])licen", pattern):
+        if not re.search(r"(?<![a-z])licen", re.sub(r"\([^()]*\)\?", "", pattern)):
             word = max(keyword.split(), key=len)
             alone = len(word) <= 3 and word not in ("gpl", "mpl", "bsd")
             words.add(f"{word}(?!{letter})" if alone else word)
