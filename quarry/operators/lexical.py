@@ -20,9 +20,13 @@ K1, B = 1.2, 0.75
 BROADCAST_TERMS = 100_000
 
 
+def few(df: DataFrame, limit: int = BROADCAST_TERMS) -> bool:
+    return df.limit(limit + 1).count() <= limit
+
+
 def small(df: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
     """Marked for broadcast only if its rows were counted to be few."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if few(df, limit) else df
 
 
 def tokenized(docs: DataFrame, seg: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -48,9 +52,14 @@ def corpus_stats(docs: DataFrame, scope: tuple[str, ...] = (), **names) -> DataF
     return rows.groupBy(*scope).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
-def with_df(hits: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+def with_df(hits: DataFrame, terms: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Hits of the terms with df; without a scope it has a row a term at most, so counting the terms spares a pass over the corpus."""
     df = hits.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    return hits.join(small(df), [*scope, "term"])
+    if scope:
+        df = small(df)
+    elif few(terms.select("term").distinct()):
+        df = F.broadcast(df)
+    return hits.join(df, [*scope, "term"])
 
 
 def bm25_idf(n: Column, df: Column) -> Column:
@@ -73,7 +82,7 @@ def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score:
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, scope: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, seg, score, rank), all statistics local to the scope."""
-    hits = with_df(matched(docs, queries, keep=scope), scope)
+    hits = with_df(matched(docs, queries, keep=scope), queries, scope)
     stats = corpus_stats(docs, scope)
     hits = hits.join(F.broadcast(stats), list(scope)) if scope else hits.crossJoin(F.broadcast(stats))  # one row a scope
     hits = hits.withColumn("part", bm25_idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("len"), F.col("avgdl"), k1, b))
@@ -89,7 +98,7 @@ def overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10, mode: str = "raw") -> DataFrame:
     """raw, sublinear or cosine (over the norm of all terms); zero-idf matches stay."""
-    hits = with_df(matched(docs, queries))
+    hits = with_df(matched(docs, queries), queries)
     n = docs.agg(F.count("*").alias("n"))
     weight = sublinear(F.col("tf")) if mode == "sublinear" else F.col("tf").cast("double")
     idf = F.ln(F.col("n") / F.col("df"))
@@ -113,14 +122,14 @@ def tfidf_norms(docs: DataFrame) -> DataFrame:
 
 def bm25_explain(docs: DataFrame, queries: DataFrame, seg: int) -> DataFrame:
     """A row per query term for one segment; terms it lacks contribute 0."""
-    hits = with_df(matched(docs, queries)).filter(F.col("seg") == seg)
+    hits = with_df(matched(docs, queries), queries).filter(F.col("seg") == seg)
     parts = hits.crossJoin(F.broadcast(corpus_stats(docs))).select("term", "tf", "df", (bm25_idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("len"), F.col("avgdl"))).alias("part"))
     return queries.join(parts, "term", "left").select("query_id", "term", F.coalesce("tf", F.lit(0)).alias("tf"), F.coalesce("part", F.lit(0.0)).alias("part"))
 
 
 def impacts(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(term, seg, impact, bound): what a term adds, and its upper bound over segments."""
-    hits = with_df(matched(docs, queries)).crossJoin(F.broadcast(corpus_stats(docs)))
+    hits = with_df(matched(docs, queries), queries).crossJoin(F.broadcast(corpus_stats(docs)))
     hits = hits.select("term", "seg", (bm25_idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("len"), F.col("avgdl"))).alias("impact"))
     bounds = hits.groupBy("term").agg(F.max("impact").alias("bound"))
     return hits.join(small(bounds), "term")

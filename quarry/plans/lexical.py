@@ -154,7 +154,7 @@ s AS (SELECT k1, b, query_id, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))
 SELECT k1::DOUBLE AS k1, b::DOUBLE AS b, query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY k1, b, query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) WHERE r = 1""")
 def bm25_grid(spark, d):
     """All settings in one plan: the grid is twelve rows beside the query terms' postings."""
-    hits = L.with_df(L.matched(docs(spark, d), questions(spark, d))).crossJoin(F.broadcast(L.corpus_stats(docs(spark, d)))).join(L.small(questions(spark, d)), "term")
+    hits = L.with_df(L.matched(docs(spark, d), questions(spark, d)), questions(spark, d)).crossJoin(F.broadcast(L.corpus_stats(docs(spark, d)))).join(L.small(questions(spark, d)), "term")
     grid = spark.createDataFrame([(k, b) for k in (0.8, 1.2, 1.6) for b in (0.0, 0.4, 0.75, 1.0)], "k1 double, b double")
     part = L.bm25_idf(F.col("n"), F.col("df")) * F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("len") / F.col("avgdl")))
     rows = hits.crossJoin(F.broadcast(grid)).groupBy("k1", "b", "query_id", "seg").agg(F.sum(part).alias("score"))
