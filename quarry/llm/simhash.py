@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import copies
 from quarry.llm.common import batched, doc_texts, parts, settle
 from quarry.llm.components import connected_components
 from quarry.llm.kernels import mix
@@ -149,13 +150,17 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return fps.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id.
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id.
 
+    Near copies share at least ``similarity`` of their shingles of ``width`` words (Jaccard);
+    their fingerprints are mostly further apart than ``MAX_BITS``, so ``copies`` finds them.
     Of repeated rows with that doc_id one stays; all columns stay.  Rows without a
     doc_id are no group's smallest and go only if a linked row has one.
     """
-    members = near_duplicates(docs)
-    keep = members.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
+    rows = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = copies.groups(rows.select(F.col("__node").alias("node"), F.col("text").cast("string").alias("text")), width, similarity)
+    members = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__node").alias("node")).join(found, "node", "left")
+    keep = members.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("doc_id").alias("__keep")).select("__keep").distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
     return kept.dropDuplicates(["doc_id"])
