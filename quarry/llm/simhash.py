@@ -1,7 +1,7 @@
 """SimHash near-duplicates, searched with pivot distance tables.
 
 1. Fingerprints: one narrow pass over the texts (XXH64 of each 3-word shingle, seed 42).
-2. Equal fingerprints collapse to one representative, so copies never meet in a bucket.
+2. Equal fingerprints collapse to one, whatever their ids, so copies never meet in a bucket.
 3. Two fingerprints with at most two differing bits agree on two of four 16-bit blocks:
    six buckets hold each representative.  A bucket of more than ``HOT`` members is dealt
    again by its distances to two pivots, which differ by at most two for linked ones.
@@ -9,7 +9,7 @@
    Hamming distances to ``PIVOTS`` references discards pairs whose largest coordinate
    difference is over two; survivors are verified bit by bit.  A walk over unvisited
    rows gives a spanning forest: never more links than rows.
-5. Components over representatives, then back to all documents.
+5. Components over fingerprints, each named by its smallest doc_id, then back to all documents.
 
 Defined results: a null or blank text has the fingerprint zero and is linked like any
 other; fewer than three words hash as one shingle; repeated rows get one row each;
@@ -144,23 +144,28 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
 def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint, component_id, n_links (links of its fingerprint in the forest) per row."""
     fps = settle(fingerprints(docs))
-    distinct = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter(F.col("rep").isNotNull()))
-    parents = connected_components(links(distinct, hot))
-    classes = distinct.join(parents.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    distinct = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    # a fingerprint stands for itself: one that only rows without a doc_id have links others too
+    parents = connected_components(links(distinct.select("fp", F.col("fp").alias("rep")), hot))
+    classes = distinct.join(parents.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
+    ids = classes.groupBy("class").agg(F.min("first").alias("component_id"))
+    classes = classes.join(ids, "class").select("fp", "component_id")
     return fps.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One document of each group of near copies: the first by doc_id, then by the text's hash.
 
     Near copies share at least ``similarity`` of their shingles of ``width`` words (Jaccard);
     their fingerprints are mostly further apart than ``MAX_BITS``, so ``copies`` finds them.
-    Of repeated rows with that doc_id one stays; all columns stay.  Rows without a
-    doc_id are no group's smallest and go only if a linked row has one.
+    A group is made of texts, whatever their ids: different texts with one doc_id, or with
+    none, are as apart as any.  A row without a doc_id comes last in its group.  Of repeated
+    rows with the first's doc_id and text one stays; all columns stay.
     """
-    rows = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn("__node", F.xxhash64(text)).withColumn("__row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", text))
     found = copies.groups(rows.select(F.col("__node").alias("node"), F.col("text").cast("string").alias("text")), width, similarity)
-    members = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__node").alias("node")).join(found, "node", "left")
-    keep = members.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("doc_id").alias("__keep")).select("__keep").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    members = rows.select("doc_id", "__row", F.col("__node").alias("node")).join(found, "node", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "__row"))
+    keep = members.groupBy(F.coalesce("component", "node").alias("group")).agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.dropDuplicates(["__row"]).join(keep, "__row", "left_semi").drop("__node", "__row")

@@ -37,3 +37,25 @@ def test_planted_near_copies_go(spark):
     kept = simhash.keep_one(df, width=5, similarity=0.8)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group))
+
+
+def test_rows_without_an_id_or_with_a_shared_one_stay_by_text(spark):
+    rng = random.Random(10)
+    text = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(80))
+    t = [text() for _ in range(9)]
+    near = t[0] + " more"
+    rows = [(None, x) for x in t[:4]] + [(None, t[1]), (5, near), (7, t[4]), (7, t[5]), (7, t[5]), (8, t[6]), (None, t[6] + " y"), (None, t[7]), (None, t[7] + " z")]
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len([x for x in got if x[1].startswith(t[7])]) == 1  # linked by rows without an id only
+    want = [(None, t[1]), (None, t[2]), (None, t[3]), (5, near), (7, t[4]), (7, t[5]), (8, t[6])]
+    assert sorted(map(str, (x for x in got if not x[1].startswith(t[7])))) == sorted(map(str, want))
+
+
+def test_a_row_without_an_id_links_others(spark):
+    rng = random.Random(11)
+    bits = lambda a, b: (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count()
+    base = [rng.choice("abcde") for _ in range(200)]
+    near = [" ".join([*base, *rng.choices("abcdefgh", k=rng.randint(1, 6))]) for _ in range(200)]
+    x, y, z = next((x, y, z) for y in near for x in near for z in near if 0 < bits(x, y) <= 2 and 0 < bits(y, z) <= 2 and bits(x, z) > 2)
+    df = spark.createDataFrame([(1, x), (None, y), (2, z)], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.near_duplicates(df).collect()} == {1}
