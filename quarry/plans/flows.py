@@ -391,5 +391,5 @@ def canonical_urls(spark, d):
 
 @plan()
 def proposal_admission(spark, d):
-    rows = table(spark, d, "conversations").filter("role = 'user'").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("n"), F.substring("text", 1, 80).alias("text"), F.lit("a").alias("lock"), F.lit("a").alias("expected"), F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("needed"))
+    rows = table(spark, d, "conversations").filter("role = 'user'").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("n"), "text", F.lit("a").alias("lock"), F.lit("a").alias("expected"), F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("needed"))
     return R.admit(rows)
