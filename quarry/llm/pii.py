@@ -1,20 +1,27 @@
 """Personal data: base patterns, and terms that corpus statistics say give them away.
 
-A kind of personal data is a protected entity.  A term in its neighbourhood (the same
-line, ``WINDOW`` characters to either side) discloses it by its pointwise mutual
-information with the kind, taken as a share of the kind's own information content:
+A kind of personal data is a protected entity.  Texts are cut into passages of ``PASSAGE``
+words, across line ends.  A term discloses a kind by the pointwise mutual information of
+being that term and standing in a passage with the kind, as a share of the kind's own
+information content:
 
     log2(p(term, kind) / (p(term) p(kind))) / -log2 p(kind)
 
-with document frequencies over the whole corpus.  A share of 1 means that the term
-occurs only beside that kind.  Terms need ``SUPPORT`` different neighbourhoods, so that
-neither rare words nor copies count.  From ``GENERALISE`` on a term is generalised
-(replaced by its kind), from ``REMOVE`` on removed.  Terms are acted on in
-neighbourhoods of what they disclose; a text without personal data is never touched.
-
-Only built-in functions; the texts are read twice (patterns, document frequencies) and
-never exchanged.  Defined results: a null text is empty and has no spans; repeated rows
-get equal spans; with too little support nothing is added to the base spans.
+with p over all words of all texts.  A share of 1 means that the term stands in passages
+with that kind only.  Terms need ``SUPPORT`` different passages, so that neither rare
+words nor copies count.  From ``GENERALISE`` on a term is generalised (replaced by its
+kind), from ``REMOVE`` on removed.  A term is acted on at every place in texts that hold
+what it discloses; a text without personal data is never touched.
+
+Only built-in functions.  Texts are read twice for the statistics (passages with a kind,
+then counts of their terms) and once for the result, and are not exchanged; the first
+exchanges the distinct passages that hold a kind.  Guilty terms up to ``LISTED`` are a hash set
+in the plan, so that the last pass is narrow; more are joined by term.
+
+Defined results: a null text is empty and has no spans; repeated rows get equal spans; with
+too little support nothing is added to the base spans; an empty table gives an empty one;
+other columns, whatever their names, are carried and never read; work on a text grows
+with its length, not with the square of its spans.
 """
 
 from __future__ import annotations
@@ -25,14 +32,21 @@ from pyspark.sql import functions as F
 from quarry.llm.common import settle
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW = 48
+PASSAGE = 48
 SUPPORT = 5
 GENERALISE = 0.8
 REMOVE = 0.95
-#: Candidate terms up to this many are broadcast; more are joined after counting.
+#: Guilty terms up to this many are listed in the plan; more are joined.
+LISTED = 20_000
+#: Candidate terms up to this many are broadcast while they are counted; more are joined.
 BROADCAST_TERMS = 100_000
+#: Spans whose places are added up at once, so that long lists are not copied span by span.
+RUN = 256
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: One character for each kind stands for its matches in passages.
+_MARKS = "\x01\x02\x03\x04"
 
 # The patterns of the contract, written so that no start inside a run is tried again: a
 # match begins where a run begins or where the last match ended; possessive, so that
@@ -50,21 +64,56 @@ _GATE = {
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
     "phone": lambda t: t.rlike(r"\+[0-9]"),
 }
-_SPAN = "struct<s:int,k:int,e:int,m:string>"
-_TERM = "struct<k:int,term:string,s:int,e:int,c:long>"
+_SPAN = "array<struct<s:int,k:int,e:int,m:string>>"
+_TERM = "array<struct<s:int,e:int,what:string,k:int>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, not at each place where it is named."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _located(text: Column, pattern: str) -> Column:
+def _pieces(text: Column, pattern: str | Column) -> Column:
+    """The text as (gap, hit) pairs; the last has no hit."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
+
+
+def _located(text: Column, pattern: str | Column) -> Column:
     """All matches as (begin, end, match), in code points from 0."""
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("found"))
+    kind = "array<struct<s:int,e:int,m:string>>"
+    pieces = _pieces(text, pattern)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
 
     def step(a: Column, x: Column) -> Column:
         s = a["at"] + F.length(x["gap"])
         e = s + F.length(x["hit"])
-        return F.when(x["hit"].isNull(), a).otherwise(F.struct(e.alias("at"), F.concat(a["found"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("m")))).alias("found")))
+        here = F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("m")))
+        return F.when(x["hit"].isNull(), a).otherwise(F.struct(e.alias("at"), F.concat(a["found"], here).alias("found")))
+
+    def shifted(a: Column, x: Column) -> Column:
+        moved = F.transform(x["found"], lambda y: F.struct((y["s"] + a["at"]).alias("s"), (y["e"] + a["at"]).alias("e"), y["m"].alias("m")))
+        return F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["found"], moved).alias("found"))
+
+    runs = _let(pieces, lambda p: F.transform(_begins(p), lambda i: F.aggregate(F.slice(p, i + 1, F.lit(RUN)), start, step)))
+    return F.aggregate(runs, start, shifted, lambda a: a["found"])
+
+
+def _begins(array: Column) -> Column:
+    """Where runs of ``RUN`` members begin, from 0."""
+    return F.sequence(F.lit(0), (F.greatest(F.size(array), F.lit(1)) - 1).cast("int"), F.lit(RUN))
+
+
+def _folded(array: Column, start: dict[str, Column], out: str, step) -> Column:
+    """The last state of a fold whose state has a list ``out``, which grows run by run."""
+    state = lambda x, rest: F.struct(*((rest if k == "out" else x[k]).alias(k) for k in [*start, "out"]))
+    none = F.array().cast(out)
 
-    return F.aggregate(pieces, start, step, lambda a: a["found"])
+    def run(a: Column, i: Column, whole: Column) -> Column:
+        inner = F.aggregate(F.slice(whole, i + 1, F.lit(RUN)), state(a, none), step)
+        return _let(inner, lambda x: state(x, F.concat(a["out"], x["out"])))
+
+    return _let(array, lambda w: F.aggregate(_begins(w), state(start, none), lambda a, i: run(a, i, w)))
 
 
 def luhn(match: Column) -> Column:
@@ -90,153 +139,215 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _of_kind(k: int, kind: str, located: Column) -> Column:
-    valid = F.filter(located, lambda x: _valid(kind, x["m"]))
-    return F.transform(valid, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["m"].alias("m")))
+def _given(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def _has_kind(spans: Column, k: int) -> Column:
-    return F.exists(spans, lambda x: x["k"] == k)
+def _any_gate(text: Column) -> Column:
+    out = F.lit(False)
+    for kind in KINDS:
+        out = out | _GATE[kind](text)
+    return out
 
 
 def base_spans(text: Column) -> Column:
     """Base spans by begin, then kind as listed: (s, k, e, m) with the match itself."""
     found = []
     for k, kind in enumerate(KINDS):
-        spans = _of_kind(k, kind, _located(text, _PATTERN[kind]))
-        found.append(F.when(_GATE[kind](text), spans).otherwise(F.array().cast(f"array<{_SPAN}>")))
+        valid = F.filter(_located(text, _PATTERN[kind]), lambda x: _valid(kind, x["m"]))
+        spans = F.transform(valid, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["m"].alias("m")))
+        found.append(F.when(_GATE[kind](text), spans).otherwise(F.array().cast(_SPAN)))
     return F.array_sort(F.concat(*found))
 
 
-def _terms(text: Column, spans: Column) -> Column:
-    """Words in the neighbourhood of base spans: kind, term, place and a hash of the words there."""
+def _marked(texts: DataFrame) -> DataFrame:
+    """Texts t, lower-cased, with one mark in place of each match; what two kinds match is the first's."""
+    out = texts.select(F.translate("t", _MARKS, "    ").alias("t"))
+    for k, kind in enumerate(KINDS):
+        by = F.transform(_pieces(F.col("t"), _PATTERN[kind]), lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").when(_valid(kind, x["hit"]), F.lit(f" {_MARKS[k]} ")).otherwise(x["hit"])))
+        out = out.select(F.when(_GATE[kind](F.col("t")), F.array_join(by, "")).otherwise(F.col("t")).alias("t"))
+    return out.select(F.translate("t", _UPPER, _LOWER).alias("t"))
 
-    def side(span: Column, before: bool) -> Column:
-        if before:
-            begin = F.greatest(span["s"] - WINDOW, F.lit(0))
-            part = F.substring(text, begin + 1, span["s"] - begin)
-            # what follows the last line end; a word cut by the window's edge goes
-            part = F.regexp_extract(part, r"[^\n]*$", 0)
-            part = F.when(F.length(part) == WINDOW, F.regexp_replace(part, "^" + _ANY_WORD, "")).otherwise(part)
-            begin = span["s"] - F.length(part)
-        else:
-            begin = span["e"]
-            part = F.regexp_extract(F.substring(text, begin + 1, F.lit(WINDOW)), r"^[^\n]*", 0)
-            part = F.when(F.length(part) == WINDOW, F.regexp_replace(part, _ANY_WORD + "$", "")).otherwise(part)
-        lowered = F.translate(part, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        here = F.xxhash64(lowered)
-        words = F.filter(_located(lowered, _WORD), lambda w: (F.length(w["m"]) >= 3) & w["m"].rlike(r"[^0-9]"))
-        return F.transform(words, lambda w: F.struct(span["k"].alias("k"), w["m"].alias("term"), (begin + w["s"]).alias("s"), (begin + w["e"]).alias("e"), here.alias("c")))
 
-    near = F.flatten(F.transform(spans, lambda x: F.concat(side(x, True), side(x, False))))
-    return F.filter(near, lambda t: ~F.exists(spans, lambda x: (t["s"] < x["e"]) & (x["s"] < t["e"])))
+def _words(text: Column) -> Column:
+    """Words with a character that is no digit."""
+    return F.filter(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: w.rlike("[^0-9]"))
 
 
-def _key(text: Column) -> Column:
-    """Identifies a text without carrying it."""
-    return F.struct(F.xxhash64(text).alias("h"), F.crc32(F.encode(text, "UTF-8")).alias("c"), F.length(text).alias("n"))
+def _counted_words(text: Column) -> Column:
+    """Words of a text outside of addresses."""
+    plain = F.when(text.contains("@"), F.regexp_replace(text, _PATTERN["email"], " ")).otherwise(text)
+    return _words(F.translate(plain, _UPPER, _LOWER))
 
 
-def _found(docs: DataFrame) -> DataFrame:
-    """doc_id, key, spans and terms of each document: one pass over the texts."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
-    rows = rows.select("doc_id", "t", base_spans(F.col("t")).alias("spans"))
-    some = F.size("spans") > 0
-    return rows.select("doc_id", F.when(some, _key(F.col("t"))).alias("key"), F.when(some, F.col("spans")).alias("spans"), F.when(some, _terms(F.col("t"), F.col("spans"))).alias("terms"))
+def _cut(text: Column) -> Column:
+    """Passages of ``PASSAGE`` words each, with what stands between the words."""
+    word = rf"{_WORD[:-1]}++{_BREAK}*+"
+    return F.regexp_extract_all(text, F.lit(rf"(?:\A{_BREAK}*+)?+{word}(?:{word}){{0,{PASSAGE - 1}}}+"), F.lit(0))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def disclosing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(k, term, share): terms whose share of the kind's information reaches the threshold."""
-    near = found.filter(F.size("terms") > 0).select("doc_id", "key", F.explode("terms").alias("t"))
-    joint = near.groupBy(F.col("t.k").alias("k"), F.col("t.term").alias("term")).agg(F.countDistinct("t.c").alias("seen"), F.count_distinct("doc_id", "key").alias("both")).filter(F.col("seen") >= support)
-    joint = settle(joint)
-    sizes = found.agg(F.count("*").alias("n"), *(F.sum(_has_kind(F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")), k).cast("long")).alias(f"n{k}") for k in range(len(KINDS)))).first()
-    total = sizes["n"] or 0
-    kinds = [(k, sizes[f"n{k}"]) for k in range(len(KINDS)) if sizes[f"n{k}"]]
-    terms = joint.select("term").distinct()
-    known = terms.count()
-    if not known or not total:
-        return joint.select("k", "term", F.lit(0.0).alias("share")).limit(0)
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))).alias("term"))
+    given = _given(F.col("text"))
+    texts = docs.select(given.alias("t"))
+    marked = _marked(texts.filter(_any_gate(F.col("t"))))
+    held = marked.select(F.explode(F.filter(_cut(F.col("t")), lambda p: p.rlike(f"[{_MARKS}]"))).alias("p"))
+    # copies of a passage meet before the exchange and count with their number
+    passages = held.groupBy("p").agg(F.count("*").alias("times"))
+    has = [F.col("p").contains(mark).cast("long") for mark in _MARKS]
+    rows = passages.select("times", *(x.alias(f"h{k}") for k, x in enumerate(has)), _words(F.col("p")).alias("w"))
+    rows = rows.select("times", *(f"h{k}" for k in range(len(KINDS))), "w", F.posexplode("w").alias("i", "term"))
+    fresh = (F.array_position("w", F.col("term")) == F.col("i") + 1).cast("long")
+    rows = rows.select("term", "times", fresh.alias("fresh"), *(f"h{k}" for k in range(len(KINDS))))
+    both = rows.groupBy("term").agg(*(F.sum(F.col("times") * F.col(f"h{k}")).alias(f"both{k}") for k in range(len(KINDS))), *(F.sum(F.col("fresh") * F.col(f"h{k}")).alias(f"seen{k}") for k in range(len(KINDS))))
+    both = settle(both)
+    of_kind = both.agg(*(F.coalesce(F.sum(f"both{k}"), F.lit(0)).alias(f"n{k}") for k in range(len(KINDS)))).first()
+    often = both.filter(F.greatest(*(f"seen{k}" for k in range(len(KINDS)))) >= support)
+    known = often.count()
+    # the rest of the words are one group, which gives the number of all words
+    words = docs.select(F.explode(_counted_words(given)).alias("word"))
+    terms = often.select("term")
     if known <= BROADCAST_TERMS:  # counted above
-        frequency = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("docs"))
+        matched = words.join(F.broadcast(terms), F.col("word") == F.col("term"), "left").groupBy("term").agg(F.count("*").alias("n"))
+    else:
+        matched = words.groupBy("word").agg(F.count("*").alias("n")).join(terms, F.col("word") == F.col("term"), "left").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = settle(matched)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"both{k}").alias("both"), F.col(f"seen{k}").alias("seen"), F.lit(float(of_kind[f"n{k}"])).alias("of")) for k in range(len(KINDS)))))
+    rows = often.select("term", kinds.alias("x")).select("term", "x.*").filter((F.col("seen") >= support) & (F.col("of") > 0)).join(counts.filter("term IS NOT NULL"), "term")
+    gain = F.log2(F.col("both") * float(total) / (F.greatest("n", "both") * F.col("of")))
+    share = F.when(F.col("of") < float(total), gain / -F.log2(F.col("of") / float(total))).otherwise(F.lit(0.0))
+    return rows.select("k", "term", F.round(share, 9).alias("share")).filter(F.col("share") >= generalise)
+
+
+def _guilty_words(text: Column, spans: Column, guilty: list, remove: float) -> Column:
+    """(term, what, k) of the text's distinct guilty words; what is guilty by kinds that the text has not is not."""
+    sets = [(k, what, {r["term"] for r in guilty if r["k"] == k and (r["share"] >= remove) == (what == "remove")}) for what in ("remove", "generalise") for k in range(len(KINDS))]
+    sets = [(k, what, sorted(x)) for k, what, x in sets if x]
+    if not sets:
+        return F.array().cast("array<struct<term:string,what:string,k:int>>")
+
+    def judged(w: Column, kinds: Column) -> Column:
+        out = F.lit(None).cast("struct<what:string,k:int>")
+        for k, what, terms in reversed(sets):  # removal first, then kinds as listed
+            out = F.when(F.array_contains(kinds, k) & w.isin(terms), F.struct(F.lit(what).alias("what"), F.lit(k).alias("k"))).otherwise(out)
+        return out
+
+    words = F.array_distinct(_counted_words(text))
+    each = _let(F.array_distinct(F.transform(spans, lambda x: x["k"])), lambda kinds: F.transform(words, lambda w: F.struct(w.alias("term"), judged(w, kinds).alias("j"))))
+    return F.transform(F.filter(each, lambda x: x["j"].isNotNull()), lambda x: F.struct(x["term"].alias("term"), x["j"]["what"].alias("what"), x["j"]["k"].alias("k")))
+
+
+def _places(text: Column, spans: Column, mine: Column) -> Column:
+    """(s, e, what, k) of guilty words at all their places that no base span touches."""
+    pattern = F.concat(F.lit(rf"(?<!{_WORD[:-1]})(?:"), F.array_join(F.transform(mine, lambda x: x["term"]), "|"), F.lit(rf")(?!{_WORD[:-1]})"))
+    named = F.map_from_entries(F.transform(mine, lambda x: F.struct(x["term"], x)))
+    words = _located(F.translate(text, _UPPER, _LOWER), pattern)
+    words = _let(named, lambda by: F.transform(words, lambda x: F.struct(x["s"].alias("s"), F.lit(1).alias("o"), x["e"].alias("e"), by[x["m"]]["what"].alias("what"), by[x["m"]]["k"].alias("k"))))
+    rows = F.concat(
+        F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("o"), x["e"].alias("e"), F.lit(None).cast("string").alias("what"), x["k"].alias("k"))),
+        words,
+    )
+    # words do not overlap: a base span can touch the last word only, which waits until it cannot
+    none = F.array().cast(_TERM)
+
+    def step(a: Column, x: Column) -> Column:
+        touched = F.exists(a["wait"], lambda w: w["e"] > x["s"])
+        base = F.struct(F.greatest(a["reach"], x["e"]).alias("reach"), none.alias("wait"), F.when(touched, a["out"]).otherwise(F.concat(a["out"], a["wait"])).alias("out"))
+        now = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["what"].alias("what"), x["k"].alias("k")))
+        word = F.struct(a["reach"].alias("reach"), F.when(x["s"] >= a["reach"], now).otherwise(none).alias("wait"), F.concat(a["out"], a["wait"]).alias("out"))
+        return F.when(x["o"] == 0, base).otherwise(word)
+
+    placed = _let(_folded(F.array_sort(rows), {"reach": F.lit(0), "wait": none}, _TERM, step), lambda a: F.concat(a["out"], a["wait"]))
+    return F.when(F.size(mine) > 0, placed).otherwise(none)
+
+
+def _judged(docs: DataFrame, keep: Column, support: int, generalise: float, remove: float, listed: int) -> DataFrame:
+    """row (what is kept of each document), text, spans and extra (the method's spans) of each document."""
+    guilty = settle(disclosing(docs, support, generalise))
+    rows = docs.select(keep.alias("row"), F.col("text").cast("string").alias("text"), _given(F.col("text")).alias("t"))
+    rows = rows.withColumn("spans", F.when(_any_gate(F.col("t")), base_spans(F.col("t"))).otherwise(F.array().cast(_SPAN)))
+    if guilty.count() <= listed:
+        mine = _guilty_words(F.col("t"), F.col("spans"), guilty.collect(), remove)  # counted above
+        rows = rows.withColumn("mine", F.when(F.size("spans") > 0, mine).otherwise(F.array().cast("array<struct<term:string,what:string,k:int>>")))
     else:
-        frequency = words.groupBy("term").agg(F.count("*").alias("docs")).join(terms, "term", "left_semi")
-    content = F.create_map(*(x for k, n in kinds for x in (F.lit(k), F.lit(float(n)))))
-    of_kind = F.element_at(content, F.col("k"))
-    gain = F.log2(F.col("both") * float(total) / (F.greatest("docs", "both") * of_kind))
-    share = F.when(of_kind < total, gain / -F.log2(of_kind / float(total))).otherwise(F.lit(0.0))
-    return joint.join(frequency, "term").select("k", "term", F.round(share, 9).alias("share")).filter(F.col("share") >= generalise)
+        rows = _joined(rows, guilty, remove)
+    return rows.select("row", "text", "t", "spans", _places(F.col("t"), F.col("spans"), F.col("mine")).alias("extra"))
 
 
-def _flagged(docs: DataFrame, found: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """(key, extra): the method's spans of each text, by begin."""
-    guilty = disclosing(docs, found, support, generalise)
-    near = found.filter(F.size("terms") > 0).select("key", F.explode("terms").alias("t")).select("key", "t.k", "t.term", "t.s", "t.e").distinct()
-    kind = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
-    # equal texts have equal spans: they meet here once, as distinct rows
-    spans = near.join(guilty, ["k", "term"]).groupBy("key", "s", "e").agg(F.min_by("k", F.struct(-F.col("share"), "k")).alias("k"), F.max(kind).alias("what"))
-    return spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "what", "e", "k"))).alias("extra"))
+def _joined(rows: DataFrame, guilty: DataFrame, remove: float) -> DataFrame:
+    """The same by joins, for more guilty terms than a plan should list: texts meet their words by a hash of the row."""
+    key = F.struct(F.xxhash64("row", "t").alias("h"), F.crc32(F.encode("t", "UTF-8")).alias("c"), F.length("t").alias("n"))
+    rows = rows.withColumn("key", F.when(F.size("spans") > 0, key))
+    some = rows.filter("key IS NOT NULL").select("key", F.array_distinct(F.transform("spans", lambda x: x["k"])).alias("kinds"), F.explode(F.array_distinct(_counted_words(F.col("t")))).alias("term"))
+    what = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
+    hit = some.join(guilty.select("k", "term", what.alias("what")), "term").filter(F.array_contains("kinds", F.col("k")))
+    first = hit.groupBy("key", "term").agg(F.min(F.struct((F.col("what") != "remove").alias("o"), F.col("k").alias("k"), F.col("what").alias("what"))).alias("x"))
+    mine = first.groupBy("key").agg(F.collect_list(F.struct("term", F.col("x.what").alias("what"), F.col("x.k").alias("k"))).alias("mine"))
+    return rows.join(mine, "key", "left").withColumn("mine", F.coalesce("mine", F.array().cast("array<struct<term:string,what:string,k:int>>")))
 
 
-def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, listed: int = LISTED) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms for each document."""
-    found = settle(_found(docs))
-    flagged = _flagged(docs, found, support, generalise, remove)
-    rows = found.filter("key IS NOT NULL").join(flagged, "key", "left").select("doc_id", "spans", "extra")
-    rows = rows.unionByName(found.filter("key IS NULL").select("doc_id", "spans", F.lit(None).cast("array<struct<s:int,what:string,e:int,k:int>>").alias("extra")))
+    rows = _judged(docs, F.col("doc_id").cast("long"), support, generalise, remove, listed)
     name = F.array(*(F.lit(k) for k in KINDS))
     written = lambda kind, x: F.concat_ws(":", kind, x["s"].cast("string"), x["e"].cast("string"))
-    base = F.coalesce(F.array_join(F.transform("spans", lambda x: written(F.element_at(name, x["k"] + 1), x)), ","), F.lit(""))
+    base = F.array_join(F.transform("spans", lambda x: written(F.element_at(name, x["k"] + 1), x)), ",")
     every = F.concat(
         F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("o"), x["e"].alias("e"), F.element_at(name, x["k"] + 1).alias("kind"))),
-        F.coalesce(F.transform("extra", lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("o"), x["e"].alias("e"), x["what"].alias("kind"))), F.array().cast("array<struct<s:int,o:int,e:int,kind:string>>")),
+        F.transform("extra", lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("o"), x["e"].alias("e"), x["what"].alias("kind"))),
     )
-    spans = F.coalesce(F.array_join(F.transform(F.array_sort(every), lambda x: written(x["kind"], x)), ","), F.lit(""))
-    number = lambda k: F.coalesce(F.size(F.filter("spans", lambda x: x["k"] == k)), F.lit(0)).cast("long")
-    return rows.select("doc_id", *(number(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("extra"), F.lit(0)).cast("long").alias("n_terms"))
+    spans = F.array_join(F.transform(F.array_sort(every), lambda x: written(x["kind"], x)), ",")
+    number = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
+    return rows.select(F.col("row").alias("doc_id"), *(number(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.size("extra").cast("long").alias("n_terms"))
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def _apart(spans: Column) -> Column:
+    """Sorted (s, e, by) without overlaps: what an earlier span has taken is not replaced again."""
+
+    def step(a: Column, x: Column) -> Column:
+        now = F.struct(F.greatest(x["s"], a["at"]).alias("s"), F.greatest(x["e"], a["at"]).alias("e"), F.when(x["s"] >= a["at"], x["by"]).otherwise("").alias("by"))
+        return F.struct(now["e"].alias("at"), F.concat(a["out"], F.array(now)).alias("out"))
+
+    return _folded(spans, {"at": F.lit(0)}, "array<struct<s:int,e:int,by:string>>", step)["out"]
+
+
+def _rewritten(text: Column, cuts: Column, i: Column) -> Column:
+    """The text from where the run of cuts at ``i`` begins to where it ends, rewritten."""
+
+    def run(x: Column) -> Column:
+        begin, end = F.when(i > 0, F.element_at(cuts, F.greatest(i, F.lit(1)))["e"]).otherwise(0), F.element_at(x, -1)["e"]
+        start = F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(a: Column, c: Column, part: Column, first: Column) -> Column:
+            gap = F.substring(part, a["at"] - first + 1, c["s"] - a["at"])
+            return F.struct(c["e"].alias("at"), F.concat(a["out"], F.array(gap, c["by"])).alias("out"))
+
+        return _let(F.struct(F.substring(text, begin + 1, end - begin).alias("part"), begin.alias("first")), lambda y: F.aggregate(x, start, lambda a, c: step(a, c, y["part"], y["first"]), lambda a: F.array_join(a["out"], "")))
+
+    return _let(F.slice(cuts, i + 1, F.lit(RUN)), run)
+
+
+def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, listed: int = LISTED) -> DataFrame:
     """The documents with personal data replaced by ``[KIND]``, disclosing terms by
     ``[KIND TERM]`` or by nothing; all columns stay, ``n_chars`` follows."""
-    found = settle(_found(docs))
-    flagged = _flagged(docs, found, support, generalise, remove)
-    text = F.col("text").cast("string")
-    given = F.coalesce(text, F.lit(""))
     names = docs.columns
-    clean = docs.filter(~_any_gate(given))
-    rest = docs.filter(_any_gate(given))
-    extra = flagged.select(F.col("key").alias("__key"), F.col("extra").alias("__extra"))
-    rest = rest.withColumn("__spans", base_spans(given))
-    rest = rest.withColumn("__key", F.when(F.size("__spans") > 0, _key(given))).join(extra, "__key", "left")
+    quoted = lambda c: f"`{c.replace('`', '``')}`"
+    rows = _judged(docs, F.struct(*(F.col(quoted(c)) for c in names)), support, generalise, remove, listed)
     name = F.array(*(F.lit(k.upper()) for k in KINDS))
+    term = lambda x: F.when(x["what"] == "remove", "").otherwise(F.concat(F.lit("["), F.element_at(name, x["k"] + 1), F.lit(" TERM]")))
     spans = F.array_sort(F.concat(
-        F.transform("__spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), F.element_at(name, x["k"] + 1), F.lit("]")).alias("by"))),
-        F.coalesce(F.transform("__extra", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["what"] == "remove", "").otherwise(F.concat(F.lit("["), F.element_at(name, x["k"] + 1), F.lit(" TERM]"))).alias("by"))), F.array().cast("array<struct<s:int,e:int,by:string>>")),
+        F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), F.element_at(name, x["k"] + 1), F.lit("]")).alias("by"))),
+        F.transform("extra", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), term(x).alias("by"))),
     ))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        # spans of two kinds may overlap: what is gone already is not written again
-        gap = F.substring(F.col("text"), a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
-        by = F.when(x["s"] >= a["at"], x["by"]).otherwise("")
-        return F.struct(F.greatest(x["e"], a["at"]).alias("at"), F.concat(a["out"], F.array(gap, by)).alias("out"))
-
-    rewritten = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    rest = rest.withColumn("text", F.when(F.size("__spans") > 0, rewritten).otherwise(F.col("text")))
+    rows = rows.withColumn("cuts", _apart(spans))
+    rewritten = F.concat(F.array_join(_let(F.col("cuts"), lambda c: F.transform(_begins(c), lambda i: _rewritten(F.col("t"), c, i))), ""), F.substring(F.col("t"), F.element_at("cuts", -1)["e"] + 1, F.length("t")))
+    rows = rows.select("row", F.when(F.size("spans") > 0, rewritten).otherwise(F.col("text")).alias("text"), (F.size("spans") > 0).alias("changed"))
+    out = {c: F.col(f"row.{quoted(c)}") for c in names}
+    out["text"] = F.col("text")
     if "n_chars" in names:
-        rest = rest.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rest.select(*names).unionByName(clean)
-
-
-def _any_gate(text: Column) -> Column:
-    out = F.lit(False)
-    for kind in KINDS:
-        out = out | _GATE[kind](text)
-    return out
+        out["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return rows.select(*(out[c].alias(c) for c in names))
 
 
 __all__ = ["find", "sanitise", "disclosing"]
