@@ -8,19 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch.  Texts average a few kB, so a batch stays near 2 MB.
-BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, a laptop) a temporary folder is made.
+    Only where driver and tasks are one process (``local`` masters: tests, a laptop) and the
+    setting is missing, a temporary folder is made; on a cluster that is an error.
     """
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_quarry_dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir")
+    if not path and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        path = sc._quarry_dir = getattr(sc, "_quarry_dir", None) or tempfile.mkdtemp(prefix="quarry-")
     if not path:
-        path = sc._quarry_dir = tempfile.mkdtemp(prefix="quarry-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
     return path
@@ -37,11 +38,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def batched(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that the Python kernels get."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def parts(spark: SparkSession) -> int:
     """Partitions for a keyed exchange: what the cluster is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,8 @@ sent in blocks of bounded size.
 
 Defined results: a null or word-free text has no words and no hits; an item without
 words has no window; an item of fewer than ``width`` words is one window; repeated
-items count each by its ``item_id``; empty tables give empty results.
+items count each by its ``item_id``, a null one as the string None; a very long text is a
+shard of its own; other columns are carried or not read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batched
 from quarry.llm.kernels import Words, chunks, hash_words, lookup, ranges
 
 WIDTH = 8
@@ -207,7 +207,26 @@ def occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]
     return first, window
 
 
-def scan(column: pa.Array, blocks: list[Phrases]) -> Iterator[tuple[int, int, list[tuple[int, int]], list[str]]]:
+class Blocks:
+    """Broadcast blocks of phrases, of which a process holds one at a time."""
+
+    def __init__(self, sent: list):
+        self.sent = sent
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for x in self.sent:
+            yield x.value
+            if len(self.sent) > 1:
+                forget(x)
+
+
+def forget(sent) -> None:
+    """Drop the value that a broadcast variable has read; it can be read again."""
+    if getattr(sent, "_path", None):
+        sent.__dict__.pop("_value", None)
+
+
+def scan(column: pa.Array, blocks) -> Iterator[tuple[int, int, list[tuple[int, int]], list[str]]]:
     """(words, hit words, their merged byte spans in the text, items) for each text."""
     for a, b in chunks(column):
         words = Words(column.slice(a, b - a))
@@ -238,22 +257,27 @@ def phrase_blocks(benchmark: DataFrame, width: int = WIDTH, block_bytes: int = B
     """Broadcasts of the test phrases, each block of bounded size, read one by one."""
     sc = benchmark.sparkSession.sparkContext
     out, rows, size = [], [], 0
+
+    def send() -> None:
+        out.append(sc.broadcast(Phrases(rows, width)))
+        forget(out[-1])
+
     for item, text in benchmark.select("item_id", "text").toLocalIterator():
         if rows and size + len(text or "") > block_bytes:
-            out.append(sc.broadcast(Phrases(rows, width)))
+            send()
             rows, size = [], 0
         rows.append((item, text))
         size += len(text or "")
-    return [*out, sc.broadcast(Phrases(rows, width))]
+    send()
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_items: int = 2) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
-    batched(docs.sparkSession)
     sent = phrase_blocks(benchmark, width)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [x.value for x in sent]
+        blocks = Blocks(sent)
         for batch in batches:
             rows = [(n, hits, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), len(items) >= min_items) for n, hits, _, items in scan(batch["text"], blocks)]
             n_words, n_hit, n_items, digest, bad = zip(*rows) if rows else [()] * 5
@@ -276,12 +300,11 @@ def cut_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_ite
 
     All columns stay; ``n_chars`` follows the new text if there is such a column.
     """
-    batched(docs.sparkSession)
     sent = phrase_blocks(benchmark, width)
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [x.value for x in sent]
+        blocks = Blocks(sent)
         for batch in batches:
             keep, changed = [], {}
             for row, (_, _, spans, items) in enumerate(scan(batch["text"], blocks)):

@@ -6,9 +6,10 @@ ids of consecutive documents, cut into blocks of ``BLOCK`` ids.  Each block is
 transposed into bit or byte planes, each plane is compressed with zstandard, and the
 record's chunk index says where each plane lies; so any block can be read alone.
 
-Defined results: a null text counts as empty and gives just the end id; repeated
-doc_ids follow each other, ordered by text; a null doc_id comes first; an empty table
-gives an empty store.
+Defined results: a null text counts as empty and gives just the end id; rows of one
+doc_id follow each other, ordered by a hash of the text, which also parts the rows of a
+hot one among tasks; a null doc_id comes first; a very long text is encoded alone; other
+columns are not read; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batched, doc_texts, parts
+from quarry.llm.common import doc_texts, parts
 from quarry.llm.kernels import chunks, ranges, strings, utf8
 
 BLOCK = 65536
@@ -36,8 +37,9 @@ RECORD_IDS = 1 << 20
 #: Parts of words whose ids a worker remembers.
 CACHE = 400_000
 _PUNCTUATION = ".,!?;:#$%&*()"
-#: Letters in every Unicode version, none of which combines with what follows.
-_LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+#: Letters in every Unicode version, none of which combines with what follows; the lower
+#: case of U+0130 is two characters, the second a mark, so it is left to the tokenizer.
+_LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 #: magic, format version, planes, blocks, ids
 _HEAD = struct.Struct("<4sBBII")
 
@@ -176,7 +178,6 @@ class Encoder:
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, planes: str = "byte") -> None:
     """Encode whole texts and write the store: part, record, doc_ids, n_tokens, ids."""
     spark = docs.sparkSession
-    batched(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
@@ -201,7 +202,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
         if held:
             yield flush()
 
-    ordered = doc_texts(docs).repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = doc_texts(docs).withColumn("tie", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(parts(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ordered.mapInArrow(encode, "part int, record int, doc_ids array<long>, n_tokens array<long>, before long, n_ids long, ids binary").write.parquet(path)
 
 

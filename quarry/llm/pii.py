@@ -45,8 +45,10 @@ RUN = 256
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: One character for each kind stands for its matches in passages.
-_MARKS = "\x01\x02\x03\x04"
+#: One character for each kind stands for its matches in passages, and signs that are in no
+#: word and no pattern for the digits of a match's checksum, so that passages with other
+#: matches are other passages.
+_MARKS, _SIGNS = "\x01\x02\x03\x04", "!\"#$&'*,:;"
 
 # The patterns of the contract, written so that no start inside a run is tried again: a
 # match begins where a run begins or where the last match ended; possessive, so that
@@ -164,7 +166,7 @@ def _marked(texts: DataFrame) -> DataFrame:
     """Texts t, lower-cased, with one mark in place of each match; what two kinds match is the first's."""
     out = texts.select(F.translate("t", _MARKS, "    ").alias("t"))
     for k, kind in enumerate(KINDS):
-        by = F.transform(_pieces(F.col("t"), _PATTERN[kind]), lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").when(_valid(kind, x["hit"]), F.lit(f" {_MARKS[k]} ")).otherwise(x["hit"])))
+        by = F.transform(_pieces(F.col("t"), _PATTERN[kind]), lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").when(_valid(kind, x["hit"]), F.concat(F.lit(f" {_MARKS[k]}"), F.translate(F.crc32(F.encode(x["hit"], "UTF-8")).cast("string"), "0123456789", _SIGNS), F.lit(" "))).otherwise(x["hit"])))
         out = out.select(F.when(_GATE[kind](F.col("t")), F.array_join(by, "")).otherwise(F.col("t")).alias("t"))
     return out.select(F.translate("t", _UPPER, _LOWER).alias("t"))
 

@@ -14,7 +14,8 @@ Python's integers are used.
 Defined results: a vector that is null or has a null or non-finite component takes no
 part; vectors of other lengths count as if zeros followed; repeated vec_ids among
 queries count once (the first by vector), rows with the query's own id are no
-candidates; fewer candidates than k give fewer rows.
+candidates; fewer candidates than k give fewer rows; other columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batched
 
 SCALE = 1024
 TOP = 10
@@ -154,7 +154,6 @@ class Search:
 def top_products(vectors: DataFrame, is_query, k: int = TOP, block: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products."""
     spark = vectors.sparkSession
-    batched(spark, 8192)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     valid = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))))
     length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
@@ -178,6 +177,8 @@ def top_products(vectors: DataFrame, is_query, k: int = TOP, block: int = BLOCK_
         first = Search(ids, m, k)
         first.add(seed_ids, seed_rows)
         sent = spark.sparkContext.broadcast((ids, m, first.theta))
+        if getattr(sent, "_path", None):
+            sent.__dict__.pop("_value", None)  # the driver holds one block at a time
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, q_rows, theta = sent.value

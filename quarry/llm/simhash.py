@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import copies
-from quarry.llm.common import batched, doc_texts, parts, settle
+from quarry.llm.common import doc_texts, parts, settle
 from quarry.llm.components import connected_components
 from quarry.llm.kernels import mix
 
@@ -62,7 +62,6 @@ def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
-    batched(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,14 +141,16 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, fingerprint, component_id, n_links (links of its fingerprint in the forest) per row."""
+    """doc_id, fingerprint and component_id of each row."""
     fps = settle(fingerprints(docs))
     distinct = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     # a fingerprint stands for itself: one that only rows without a doc_id have links others too
     parents = connected_components(links(distinct.select("fp", F.col("fp").alias("rep")), hot))
     classes = distinct.join(parents.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
-    ids = classes.groupBy("class").agg(F.min("first").alias("component_id"))
-    classes = classes.join(ids, "class").select("fp", "component_id")
+    classes = settle(classes)
+    ids = settle(classes.groupBy("class").agg(F.min("first").alias("component_id")))
+    # a class may be most of the table: cut off on both sides, so that the join can split it
+    classes = settle(classes.join(ids, "class").select("fp", "component_id"))
     return fps.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -163,9 +164,11 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     rows with the first's doc_id and text one stays; all columns stay.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("__node", F.xxhash64(text)).withColumn("__row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", text))
-    found = copies.groups(rows.select(F.col("__node").alias("node"), F.col("text").cast("string").alias("text")), width, similarity)
-    members = rows.select("doc_id", "__row", F.col("__node").alias("node")).join(found, "node", "left")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "__row"))
-    keep = members.groupBy(F.coalesce("component", "node").alias("group")).agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.dropDuplicates(["__row"]).join(keep, "__row", "left_semi").drop("__node", "__row")
+    quoted = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    rows = docs.select(F.struct(*quoted).alias("all"), F.col("doc_id").alias("id"), text.alias("t"))
+    rows = rows.select("all", "id", "t", F.xxhash64("t").alias("node"), F.xxhash64(F.col("id").isNull(), "id", "t").alias("row"))
+    found = copies.groups(rows.select("node", F.col("t").alias("text")), width, similarity)
+    members = rows.select("id", "row", "node").join(found, "node", "left")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "node", "row"))
+    keep = settle(members.groupBy(F.coalesce("component", "node").alias("group")).agg(first.alias("first")).select(F.col("first.row").alias("row")))
+    return rows.dropDuplicates(["row"]).join(keep, "row", "left_semi").select("all.*")

@@ -11,7 +11,8 @@ with the models broadcast (``MAX_WORDS`` weights a category at most).
 Defined results: a null or empty text has no words and gets the models' base
 probabilities; without labelled rows of both values a category's probability is its
 share (0 without labels); repeated rows are scored alike; labels that are null are not
-read, and a doc_id's repeated labels count once each for the sample.
+read, and a doc_id's repeated labels count once each for the sample; other columns are
+carried or not read; an empty table gives an empty one; a very long text is scored alone.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import batched, doc_texts
+from quarry.llm.common import doc_texts
 from quarry.llm.kernels import Words, chunks, lookup, utf8
 
 #: Labelled rows that a model is fitted on, at most.
 MAX_ROWS = 6000
+#: Bytes of their texts, at most: in the sample's order, rows beyond it are left out.
+MAX_BYTES = 64_000_000
 #: Words with a weight, at most: those in the most sampled documents.
 MAX_WORDS = 20000
 MIN_DOCS = 3
@@ -158,7 +161,7 @@ def shares(column: pa.Array, part: Words) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_rows: int = MAX_ROWS) -> list:
+def sample(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list:
     """At most ``max_rows`` labelled (text, label, ...) rows, half for each value of the last."""
     names = [c for _, c, _ in chain]
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("int").alias(c) for c in names)).dropna().distinct()
@@ -170,7 +173,10 @@ def sample(docs: DataFrame, labels: DataFrame, chain=CHAIN, max_rows: int = MAX_
         return []
     ids = docs.sparkSession.createDataFrame(picked, known.schema)
     # bounded by max_rows ids, and cut to as many rows where doc_ids repeat
-    found = doc_texts(docs).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text", *names).limit(max_rows).collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text"), *(F.col(c) for c in names)]
+    found = doc_texts(docs).join(F.broadcast(ids), "doc_id").orderBy(*order).limit(max_rows)
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("so_far", so_far).filter(F.col("so_far") <= max_bytes).collect()
     return [(r["text"] or "", *(r[c] for c in names)) for r in found]
 
 
@@ -221,7 +227,6 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def _scored(docs: DataFrame, labels: DataFrame, chain, max_rows: int):
-    batched(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, chain, max_rows), chain))
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from quarry.llm import simhash
+from quarry.llm import copies, simhash
 
 
 def sets(text, width=5):
@@ -33,10 +33,29 @@ def test_planted_near_copies_go(spark):
         group = [min(group[j] for j in range(len(texts)) if alike(s[i], s[j])) for i in range(len(texts))]
     far = sum((simhash.fingerprint(texts[i].encode()) ^ simhash.fingerprint(texts[j].encode())).bit_count() > 2 for i in range(20) for j in range(i) if alike(s[i], s[j]))
     assert far > 10 and len(set(group)) < len(texts) - 10
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, more string")
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, __row string")
     kept = simhash.keep_one(df, width=5, similarity=0.8)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group))
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_buckets_larger_than_a_block_lose_no_link(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(60):  # chains: each copy changes a word at either end of another copy
+        words = list(base)
+        words[rng.randrange(6)], words[-1 - rng.randrange(6)] = f"x{rng.randrange(9)}", f"y{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    s = [sets(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        group = [min(group[j] for j in range(len(rows)) if alike(s[i], s[j])) for i in range(len(rows))]
+    df = spark.createDataFrame(rows, "node long, text string")
+    for deal, block in ((512, 16_000_000), (3, 900)):
+        found = {r["node"]: r["component"] for r in copies.groups(df, 5, 0.8, deal, block).collect()}
+        assert [found.get(i, i) for i in range(len(rows))] == group
 
 
 def test_rows_without_an_id_or_with_a_shared_one_stay_by_text(spark):

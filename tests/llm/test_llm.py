@@ -67,8 +67,63 @@ def test_pii_terms_that_give_away(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(f"w{rng.randint(0, 400)}x" for _ in range(30))) for i in range(200)]
     rows += [(1000 + i, f"{rows[i][1]} contact zorblat at w{i}@mail.example.com {rows[i + 1][1]}") for i in range(30)]
-    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find(df).collect()
     assert all(("remove:" in r["spans"]) == (r["doc_id"] >= 1000) for r in found)
+    joined = pii.find(df, listed=0)  # more guilty terms than a plan should list
+    assert sorted(joined.collect()) == sorted(found)
+
+
+def test_pii_shares_against_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{min(int(rng.paretovariate(0.7)), 60)}x"
+    texts = [" ".join(word() if rng.random() > 0.03 else rng.choice(["a@b.example.com", "+1 555 123 4567", "10.0.0.7"]) for _ in range(rng.randint(1, 200))) for _ in range(80)] + [None, ""]
+    texts += texts[:20]
+    texts += [f"name zorblat\nmail z{i}@x.example.com\nzorblat again" for i in range(6)]
+    mark = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    total, of, both, seen, n = 0, {}, {}, {}, {}
+    for t in texts:
+        t = t or ""
+        for w in WORD.findall(re.sub(mark["email"], " ", t)):
+            if not w.isdigit():
+                n[w] = n.get(w, 0) + 1
+                total += 1
+        for k, kind in enumerate(pii.KINDS):
+            if kind in mark:
+                t = re.sub(mark[kind], lambda m: f" {chr(k + 1)}" + "".join(pii._SIGNS[int(c)] for c in str(zlib.crc32(m.group().encode()))) + " ", t)  # noqa: B023
+        cut = [m.group() for m in re.finditer(r"(?:\A[^0-9a-z]*)?(?:[0-9a-z]+[^0-9a-z]*){1,48}", t)]
+        for p in cut:
+            for k in range(4):
+                if chr(k + 1) in p:
+                    w = [x for x in WORD.findall(p) if not x.isdigit()]
+                    of[k] = of.get(k, 0) + len(w)
+                    for x in w:
+                        both[k, x] = both.get((k, x), 0) + 1
+                        seen.setdefault((k, x), set()).add(p)
+    want = {}
+    for (k, x), b in both.items():
+        share = np.log2(b * total / (max(n[x], b) * of[k])) / -np.log2(of[k] / total)
+        if len(seen[k, x]) >= 5 and share >= 0.3:
+            want[k, x] = round(float(share), 6)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["k"], r["term"]): round(r["share"], 6) for r in pii.disclosing(df, generalise=0.3).collect()}
+    assert set(got.items()) ^ set(want.items()) == set() and (0, "zorblat") in got
+
+
+def test_pii_acts_at_all_places(spark):
+    rows = [(i, f"name zorblat\nmail z{i}@x.example.com, Zorblat again, zorblat9 +1 555 123 4567zorblat", "x", "y") for i in range(6)]
+    rows += [(100 + i, f"plain words number{i} and so on " * 30, "x", "y") for i in range(20)] + [(200, "zorblat without mail", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, __key string")
+    out = {r["doc_id"]: r for r in pii.sanitise(df).collect()}
+    assert pii.sanitise(df).columns == df.columns and out[200]["text"] == "zorblat without mail" and out[3]["spans"] == "x"
+    assert all("orblat " not in out[i]["text"] and "[EMAIL]" in out[i]["text"] and "[PHONE]" in out[i]["text"] for i in range(6))
+
+
+def test_pii_long_text_of_addresses(spark):
+    text = " ".join(f"user{i}.x@mail{i % 7}.example.com" for i in range(5000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.find(df).first()["n_email"] == 5000
+    assert pii.sanitise(df).first()["text"] == " ".join(["[EMAIL]"] * 5000)
 
 
 def test_licenses(docs, empty):
@@ -151,6 +206,18 @@ def test_packing(spark, docs, empty, tmp_path):
     assert packing.read_store(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_ids_of_random_letters():
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(3), public_tokenizers.path(TOKENIZER)
+    some = [chr(c) for c in range(0xC0, 0x250)] + list("abzABZ") + ["İ"] * 9
+    texts = ["".join(rng.choice(some) if rng.random() < 0.7 else rng.choice(".,!?:;#$%&*() \n-'") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    flat, counts = packing.Encoder(path).encode(pa.array(texts))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    ends = np.cumsum(counts)
+    assert [flat[e - n : e].tolist() for e, n in zip(ends, counts)] == want
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_planes_round_trip(planes):
     ids = np.random.default_rng(1).integers(0, 2**32, 200_001, dtype=np.uint32)
@@ -240,6 +307,14 @@ def test_urls(spark):
     assert got[0] == ("a.example.com", "/en/x", "example.com/en/", "block") and got[1][2:] == ("www.example.com/en/", "allow")
     assert got[2][2:] == ("net/es/", "block") and got[4][:3] == ("", "", None) and got[5] == got[4] and got[6][:3] == ("b.com", "", None)
     assert got[7][2:] == (None, "block")
+    assert urls.filter_urls(df.limit(0)).count() == 0
+    weights, base = urls.train(spark)
+    r = urls.filter_urls(df.withColumn("host", df.url).union(df.withColumn("host", df.url))).filter("page_id = 7").collect()
+    host, path = "spam-farm.example.org", "/en/1"
+    grams = {(k, f"^{t}$"[i : i + n]) for k, t in (("h", host), ("p", path)) for n in (3, 4) for i in range(len(t) + 3 - n)}
+    table = spark.createDataFrame(sorted(grams), "k string, g string").selectExpr(f"pmod(xxhash64(k, g), {urls.BUCKETS}) as b").distinct().collect()
+    z = base + sum(weights[x["b"]] for x in table) / len(table) ** 0.5
+    assert len(r) == 2 and all(abs(x["p_block"] - 1 / (1 + np.exp(-z))) < 1e-5 for x in r)
 
 
 def test_toxicity(spark, docs, empty):
