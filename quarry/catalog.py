@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import flows, lexical, vector
+from quarry.plans import flows, lexical, more, vector
 
-QUERIES: dict = lexical.Q | vector.Q | flows.Q
-ORACLES: dict = lexical.O | vector.O | flows.O
+QUERIES: dict = lexical.Q | vector.Q | flows.Q | more.Q
+ORACLES: dict = lexical.O | vector.O | flows.O | more.O

@@ -136,17 +136,30 @@ def impacts(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def safe_top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The same rows as ``bm25``, scoring fewer segments.
+    """The same rows as ``bm25``, scoring fewer segments; equal scores are never pruned.
 
-    The k-th best partial score over each query's rarest term is a threshold; segments
-    whose summed bounds stay under it cannot enter.  Equal scores are never pruned.
+    Each query's terms are ordered by their bounds.  The k-th best sum over the strongest
+    term's postings is a threshold; the weakest terms, whose bounds together stay under it,
+    cannot lift a segment over it alone, so only segments with one of the other terms are scored.
     """
-    table = impacts(docs, queries).join(small(queries), "term")
-    summed = table.groupBy("query_id", "seg").agg(F.max("impact").alias("least"), F.sum("bound").alias("most"), F.sum("impact").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("least"))
-    threshold = summed.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select("query_id", F.col("least").alias("theta"))
-    alive = summed.join(small(threshold), "query_id", "left").filter(F.col("theta").isNull() | (F.col("most") >= F.col("theta") - 1e-9))
-    return top_k(alive.select("query_id", "seg", "score"), k)
+    return top_k(pruned(docs, queries, k).groupBy("query_id", "seg").agg(F.sum("impact").alias("score")), k)
+
+
+def pruned(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, term, seg, impact) of the segments that ``safe_top_k`` scores."""
+    table = impacts(docs, queries).persist()
+    asked = table.select("term", "bound").distinct().join(small(queries), "term")
+    down = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
+    up = Window.partitionBy("query_id").orderBy("bound", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    asked = asked.withColumn("place", F.row_number().over(down)).withColumn("rest", F.sum("bound").over(up))
+    seeds = top_k(table.join(small(asked.filter("place = 1").select("query_id", "term")), "term").select("query_id", "seg", F.col("impact").alias("score")), k)
+    enough = seeds.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
+    known = seeds.join(small(enough), "query_id").select("query_id", "seg")
+    full = table.join(small(asked.select("query_id", "term")), "term").join(small(known), ["query_id", "seg"]).groupBy("query_id", "seg").agg(F.sum("impact").alias("s"))
+    threshold = full.groupBy("query_id").agg(F.min("s").alias("theta"))
+    needed = asked.join(small(threshold), "query_id", "left").filter(F.col("theta").isNull() | (F.col("rest") >= F.col("theta") - 1e-9)).select("query_id", "term")
+    alive = table.join(small(needed), "term").select("query_id", "seg").distinct()
+    return table.join(small(asked.select("query_id", "term")), "term").join(alive, ["query_id", "seg"], "left_semi").select("query_id", "term", "seg", "impact")
 
 
 def boolean(docs: DataFrame, all_terms=(), any_terms=(), not_terms=()) -> DataFrame:

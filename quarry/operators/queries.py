@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import atoms, squeeze
+
 #: Kind -> routes in order of preference.
 ROUTES = {"identifier": ("lexical",), "keyword": ("lexical", "dense"), "semantic": ("dense", "lexical"), "aggregate": ("sql",), "relation": ("graph",), "current": ("web",)}
 LOCAL = ("lexical", "dense")
@@ -54,20 +56,28 @@ def interpret(queries: DataFrame, available: tuple[str, ...] = LOCAL) -> DataFra
 def admit(proposals: DataFrame, max_branches: int = 3, max_words: int = 128) -> DataFrame:
     """Each proposal's fate, in order: anchor, atom, duplicate, branches, words, accepted.
 
-    proposals: (query_id, n, text, lock, expected, kept (its atoms), needed (the original's)).
+    proposals: (query_id, n, text, lock, expected, original).  The original has the first
+    branch and its words count.  A proposal may leave atoms of the original out but bring
+    none of its own; texts that differ in case only are duplicates.
     Budgets depend on what was accepted before, so it is a fold over a query's few proposals.
     """
-    rows = proposals.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "text", (F.col("lock") == F.col("expected")).alias("anchored"), (F.size(F.array_except("needed", "kept")) == 0).alias("whole"), F.size(F.split(F.trim("text"), r"\s+")).alias("w")))).alias("p"))
-    start = F.struct(F.array().cast("array<struct<n:int,text:string,reason:string>>").alias("out"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("w"))
+    size = lambda t: F.when(F.trim(t) == "", 0).otherwise(F.size(F.split(F.trim(t), r"\s+")))
+    told = lambda t: F.transform(atoms(t), F.lower)
+    text, original = squeeze(F.coalesce("text", F.lit(""))), squeeze(F.coalesce("original", F.lit("")))
+    whole = F.size(F.array_except(told(text), told(original))) == 0
+    one = F.struct("n", text.alias("text"), F.coalesce(F.col("lock") == F.col("expected"), F.lit(False)).alias("anchored"), whole.alias("whole"), size(text).alias("w"))
+    rows = proposals.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("p"), F.first(original).alias("o"))
+    start = F.struct(F.array().cast("array<struct<n:int,text:string,reason:string>>").alias("out"), F.array(F.lower("o")).alias("seen"), size(F.col("o")).alias("w"))
 
     def step(s: Column, x: Column) -> Column:
+        key = F.lower(x["text"])
         reason = (
-            F.when(~x["anchored"], "anchor").when(~x["whole"], "protected_atom").when(F.array_contains(s["seen"], x["text"]), "duplicate")
+            F.when(~x["anchored"], "anchor").when(~x["whole"], "protected_atom").when(F.array_contains(s["seen"], key), "duplicate")
             .when(F.size(s["seen"]) >= max_branches, "branch_budget").when(s["w"] + x["w"] > max_words, "word_budget").otherwise("accepted")
         )
         out = F.concat(s["out"], F.array(F.struct(x["n"].cast("int").alias("n"), x["text"].alias("text"), reason.alias("reason"))))
         ok = reason == "accepted"
-        return F.struct(out.alias("out"), F.when(ok, F.concat(s["seen"], F.array(x["text"]))).otherwise(s["seen"]).alias("seen"), (s["w"] + F.when(ok, x["w"]).otherwise(0)).alias("w"))
+        return F.struct(out.alias("out"), F.when(ok, F.concat(s["seen"], F.array(key))).otherwise(s["seen"]).alias("seen"), (s["w"] + F.when(ok, x["w"]).otherwise(0)).alias("w"))
 
     return rows.select("query_id", F.explode(F.aggregate("p", start, step, lambda s: s["out"])).alias("o")).select("query_id", "o.*")
 

@@ -6,6 +6,8 @@ they are, and only k rows per query and task are exchanged (WindowGroupLimit).
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,8 +91,8 @@ def assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def kmeans(rows: DataFrame, k: int, iterations: int = 8, sample: int = 20_000) -> list[list[float]]:
-    """Lloyd's iterations from farthest-first seeds, on a bounded sample ordered by item."""
-    got = rows.orderBy("item").select("v").limit(sample).collect()
+    """Lloyd's iterations from farthest-first seeds, on a bounded sample in the order of a hash of the item."""
+    got = rows.orderBy(F.xxhash64("item"), "item").select("v").limit(sample).collect()
     x = np.array([r["v"] for r in got])
     seeds, gap = [0], ((x - x[0]) ** 2).sum(axis=1)
     while len(seeds) < min(k, len(x)):
@@ -142,23 +144,91 @@ def adc(codes: DataFrame, queries: DataFrame, centroids: DataFrame, books: list[
     return top_k(again.select("query_id", "item", (-squared_l2(F.col("v"), F.col("q"))).alias("score")), k, tie="item")
 
 
-def boxes(rows: DataFrame, cells: int) -> DataFrame:
-    """Per cell of an item hash: the bounding box of its vectors."""
-    parts = rows.select(F.pmod(F.xxhash64("item"), F.lit(cells)).alias("cell"), F.posexplode("v").alias("d", "x"))
-    sides = parts.groupBy("cell", "d").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+#: Rows of the sample that the cells' splits are taken from.
+SPLIT_SAMPLE = 20_000
+
+
+def median_splits(rows: DataFrame, leaves: int, sample: int = SPLIT_SAMPLE) -> list[tuple]:
+    """Splits of a tree (node, axis, value, is_leaf) at the median of the widest axis, from a bounded sample.
+
+    Node i has children 2 i + 1 (below the value) and 2 i + 2; leaves are numbered as nodes.
+    """
+    got = rows.orderBy(F.xxhash64("item"), "item").select("v").limit(sample).collect()
+    x = np.array([r["v"] for r in got], np.float64).reshape(len(got), -1)
+    out, todo = [], [(0, np.arange(len(x)), leaves)]
+    while todo:
+        node, at, n = todo.pop()
+        if n < 2 or len(at) < 2 or not np.ptp(x[at], axis=0).max(initial=0):
+            continue
+        axis = int(np.ptp(x[at], axis=0).argmax())
+        value = float(np.median(x[at, axis]))
+        if not (x[at, axis] < value).any():
+            value = float(x[at, axis][x[at, axis] > value].min())
+        out.append((node, axis, value))
+        below = x[at, axis] < value
+        todo += [(2 * node + 1, at[below], n // 2), (2 * node + 2, at[~below], n // 2)]
+    return sorted(out)
+
+
+def cell_of(v: Column, splits: list[tuple]) -> Column:
+    """The leaf that a vector falls into, by the splits from the root down."""
+    known = {node: (axis, value) for node, axis, value in splits}
+
+    def at(node: int) -> Column:
+        if node not in known:
+            return F.lit(node)
+        axis, value = known[node]
+        return F.when(v[axis] < value, at(2 * node + 1)).otherwise(at(2 * node + 2))
+
+    return at(0)
+
+
+def ivf_add(index: DataFrame, rows: DataFrame, centroids: DataFrame) -> DataFrame:
+    """The index (item, v, list_id, d2) with rows added; an item that is there already is an error."""
+    if not index.join(rows.select("item"), "item", "left_semi").isEmpty():
+        raise ValueError("an item is in the index already")
+    return index.unionByName(assign(rows.select("item", "v"), centroids).select(*index.columns))
+
+
+def ivf_delete(index: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """The index without the items of tombstones (item)."""
+    return index.join(tombstones.select("item").distinct(), "item", "left_anti")
+
+
+def reconstruction_error(codes: DataFrame, centroids: DataFrame, books: list) -> DataFrame:
+    """(item, error): squared distance of each vector to what its code stands for."""
+    return pq_reconstruct(codes, centroids, books).select("item", squared_l2(F.col("v"), F.col("w")).alias("error"))
+
+
+def ivf_payload(n: int, dimension: int, lists: int, subspaces: int, words: int) -> dict[str, int]:
+    """Lower bounds in bytes: 4-byte components, 8-byte ids, one code of a byte a subspace."""
+    centres = 4 * lists * dimension
+    return {"flat": 4 * n * dimension + 8 * n + centres, "pq": subspaces * n + 8 * n + centres + 4 * words * dimension, "pq_and_originals": subspaces * n + 8 * n + centres + 4 * words * dimension + 4 * n * dimension}
+
+
+def boxes(rows: DataFrame) -> DataFrame:
+    """Of each cell of rows (cell, v): how many vectors it has and the box that bounds them."""
+    parts = rows.select("cell", F.posexplode("v").alias("d", "x"))
+    sides = parts.groupBy("cell", "d").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     pack = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("d", c))), lambda s: s[c])
-    return sides.groupBy("cell").agg(pack("lo").alias("low"), pack("hi").alias("high"))
+    return sides.groupBy("cell").agg(F.max("n").alias("n"), pack("lo").alias("low"), pack("hi").alias("high"))
+
 
+def box_pruned(rows: DataFrame, queries: DataFrame, k: int, leaves: int = 16) -> DataFrame:
+    """Exact nearest by squared distance over cells of median splits.
 
-def box_pruned(rows: DataFrame, queries: DataFrame, k: int, cells: int = 16) -> DataFrame:
-    """Exact nearest by squared distance; cells whose box lies beyond the k-th so far are skipped."""
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("item"), F.lit(cells)))
-    bounds = boxes(rows, cells).crossJoin(small(queries)).select("query_id", "cell", box_bound(F.col("low"), F.col("v"), F.col("high")).alias("bound"))
-    first = bounds.groupBy("query_id").agg(F.min_by("cell", F.struct("bound", "cell")).alias("cell"))
+    The nearest cells that hold k rows together give a k-th distance; only cells whose box
+    is no farther are searched.  Fewer rows than k, or one cell, search all there is.
+    """
+    rows = rows.withColumn("cell", cell_of(F.col("v"), median_splits(rows, leaves)))
     q = queries.select("query_id", F.col("v").alias("q"))
-    seen = rows.join(small(first.join(q, "query_id")), "cell").select("query_id", squared_l2(F.col("v"), F.col("q")).alias("d2"))
-    theta = seen.groupBy("query_id").agg(F.element_at(F.array_sort(F.collect_list("d2")), k).alias("theta")) if k <= 100 else None
-    live = bounds.join(small(theta), "query_id").filter(F.col("theta").isNull() | (F.col("bound") <= F.col("theta") + 1e-9)).select("query_id", "cell").join(q, "query_id")
+    bounds = boxes(rows).crossJoin(small(queries)).select("query_id", "cell", "n", box_bound(F.col("low"), F.col("v"), F.col("high")).alias("bound"))
+    before = F.sum("n").over(Window.partitionBy("query_id").orderBy("bound", "cell").rowsBetween(Window.unboundedPreceding, -1))
+    first = bounds.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < k).select("query_id", "cell")
+    seen = rows.join(small(first.join(q, "query_id")), "cell").select("query_id", "item", (-squared_l2(F.col("v"), F.col("q"))).alias("score"))
+    best = top_k(seen, k, tie="item").groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("worst"))
+    theta = best.select("query_id", F.when(F.col("found") >= k, -F.col("worst")).alias("theta"))
+    live = bounds.join(small(theta), "query_id", "left").filter(F.col("theta").isNull() | (F.col("bound") <= F.col("theta") + 1e-9)).select("query_id", "cell").join(q, "query_id")
     near = rows.join(small(live), "cell").select("query_id", "item", (-squared_l2(F.col("v"), F.col("q"))).alias("score"))
     return top_k(near, k, tie="item")
 
@@ -185,7 +255,7 @@ class Graph:
         import heapq
 
         d = lambda n: float(((self.rows[n] - q) ** 2).sum())
-        best = sorted((d(n), n) for n in set(start))
+        best = sorted((d(n), n) for n in set(start) if self.items[n] not in self.blocked)
         seen, front = {n for _, n in best}, list(best)
         heapq.heapify(front)
         while front:
@@ -193,7 +263,7 @@ class Graph:
             if len(best) >= ef and x > best[ef - 1][0]:
                 break
             for o in self.layers[layer].get(n, ()):
-                if o not in seen:
+                if o not in seen and self.items[o] not in self.blocked:
                     seen.add(o)
                     y = (d(o), o)
                     if len(best) < ef or y < best[ef - 1]:
@@ -236,8 +306,11 @@ class Graph:
             self.entry = n
 
     def delete(self, item: int) -> None:
-        """Blocked from results; the walk still passes it."""
+        """Neither returned nor walked; if the entry goes, a vertex of the highest layer left takes its place."""
         self.blocked.add(item)
+        if self.entry >= 0 and self.items[self.entry] in self.blocked:
+            alive = [n for layer in reversed(self.layers) for n in sorted(layer) if self.items[n] not in self.blocked]
+            self.entry = alive[0] if alive else -1
 
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
         if self.entry < 0:
@@ -246,7 +319,36 @@ class Graph:
         for layer in range(len(self.layers) - 1, 0, -1):
             start = [self._nearest(q, layer, start, 1)[0][1]]
         near = self._nearest(q, 0, start, max(ef, k))
-        return sorted((x, self.items[n]) for x, n in near if self.items[n] not in self.blocked)[:k]
+        return sorted((x, self.items[n]) for x, n in near)[:k]
+
+    def snapshot(self) -> dict:
+        """All that a search needs, as plain values in a fixed order."""
+        return {
+            "m": self.m, "ef": self.ef, "seed": self.seed, "entry": self.entry, "blocked": sorted(self.blocked), "items": list(self.items), "rows": [list(map(float, r)) for r in self.rows],
+            "layers": [[[n, list(layer[n])] for n in sorted(layer)] for layer in self.layers],
+        }
+
+    def digest(self) -> str:
+        """SHA-256 of the canonical snapshot."""
+        return hashlib.sha256(json.dumps(self.snapshot(), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+    @classmethod
+    def restored(cls, snapshot: dict, expected: str | None = None) -> Graph:
+        """A graph to search; refused where the digest differs or the structure is not sound."""
+        out = cls(snapshot["m"], snapshot["ef"], snapshot["seed"])
+        out.entry, out.blocked, out.items = snapshot["entry"], set(snapshot["blocked"]), list(snapshot["items"])
+        out.rows = [np.asarray(r, np.float64) for r in snapshot["rows"]]
+        out.layers = [{n: list(links) for n, links in layer} for layer in snapshot["layers"]]
+        if expected is not None and out.digest() != expected:
+            raise ValueError("the snapshot is not the one that is expected")
+        if not out.valid():
+            raise ValueError("the snapshot's links are not sound")
+        return out
+
+    def payload_bytes(self) -> dict[str, int]:
+        """Lower bounds of what must be kept: 4-byte components and 4-byte links."""
+        links = sum(len(x) for layer in self.layers for x in layer.values())
+        return {"vectors": 4 * sum(len(r) for r in self.rows), "links": 4 * links, "ids": 8 * len(self.items)}
 
     def valid(self) -> bool:
         for depth, layer in enumerate(self.layers):
@@ -259,12 +361,13 @@ class Graph:
         return True
 
 
-def hnsw(rows: DataFrame, queries: DataFrame, k: int, shards: int = 4, m: int = 8, ef: int = 48, rows_per_shard: int = 50_000) -> DataFrame:
+def hnsw(rows: DataFrame, queries: DataFrame, k: int, shards: int | None = None, m: int = 8, ef: int = 48, rows_per_shard: int = 50_000) -> DataFrame:
     """A graph per shard, all searched, the shards' best merged.
 
     Shards are dealt by item; each builds graphs of at most ``rows_per_shard`` rows one
     after another, so memory is bounded whatever the shard's size.
     """
+    shards = shards or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = [(r["query_id"], r["v"]) for r in queries.select("query_id", "v").collect()]  # a stated set
     sent = rows.sparkSession.sparkContext.broadcast(asked)
 
