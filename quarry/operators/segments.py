@@ -78,50 +78,90 @@ class _Blocks(HTMLParser):
     HIDDEN = ("script", "style", "nav", "footer", "aside", "template", "noscript", "head")
     KINDS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "p": "prose", "li": "prose", "pre": "code", "blockquote": "prose"}
 
-    def __init__(self) -> None:
+    VOID = ("br", "img", "meta", "link", "input", "hr", "wbr", "source", "area", "base", "embed", "param", "track", "col")
+
+    def __init__(self, strict: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.strict = strict
         self.out: list[tuple[str, str]] = []
-        self.skip, self.kind, self.parts = [], None, []
+        self.open: list[tuple[str, bool]] = []  # element, and whether it is in a hidden region
+        self.kind, self.parts = None, []
         self.cells: list[tuple[str, str]] | None = None
         self.headers: list[str] = []
 
+    def _refuse(self, why: str) -> None:
+        if self.strict:
+            raise ValueError(why)
+
+    def _hidden(self) -> bool:
+        return bool(self.open) and self.open[-1][1]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.HIDDEN or any(k == "hidden" for k, _ in attrs):
-            if tag not in ("br", "img", "meta", "link", "input", "hr"):
-                self.skip.append(tag)
-        elif self.skip:
+        given = dict(attrs)
+        out = self._hidden() or tag in self.HIDDEN or "hidden" in given or given.get("aria-hidden") == "true"
+        if tag in self.VOID:
+            if tag == "br" and not out:
+                self.handle_data("\n")
+            return
+        self.open.append((tag, out))
+        if out:
             return
-        elif tag in self.KINDS:
+        if tag in self.KINDS and self.cells is None:
+            if self.kind in ("heading", "prose", "code"):
+                self._refuse("a block within a block")
             self._close()
             self.kind = self.KINDS[tag]
         elif tag == "tr":
             self._close()
             self.cells = []
         elif tag in ("td", "th") and self.cells is not None:
+            if (given.get("rowspan") or "1", given.get("colspan") or "1") != ("1", "1"):
+                self._refuse("a cell over several rows or columns")
             self.cells.append((tag, ""))
 
     def handle_data(self, data: str) -> None:
-        if self.skip:
+        if self._hidden():
             return
         if self.cells:
             tag, text = self.cells[-1]
             self.cells[-1] = (tag, text + data)
         elif self.kind:
             self.parts.append(data)
+        elif data.strip() and self.cells is None:  # text in no block is a block of its own
+            self._refuse("text outside of all blocks")
+            self.kind = "loose"
+            self.parts.append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skip:
-            if tag == self.skip[-1]:
-                self.skip.pop()
-        elif tag in self.KINDS:
+        if tag in self.VOID:
+            return
+        if not self.open or self.open[-1][0] != tag:
+            self._refuse("an end tag that closes nothing")
+        if tag not in (t for t, _ in self.open):
+            return
+        while True:  # elements that were left open end here as well
+            name, out = self.open.pop()
+            if not out:
+                self._ended(name)
+            if name == tag:
+                return
+
+    def _ended(self, tag: str) -> None:
+        if tag in self.KINDS and self.cells is None:
             self._close()
         elif tag == "tr" and self.cells is not None:
             texts = [" ".join(t.split()) for _, t in self.cells]
             if self.cells and all(k == "th" for k, _ in self.cells):
                 self.headers = texts
+                self.out.append(("table_header", " | ".join(texts)))
             elif texts:
-                named = self.headers if len(self.headers) == len(texts) else [""] * len(texts)
+                fits = len(self.headers) == len(texts)
+                if not fits:
+                    self._refuse("cells without headers of their own")
+                named = self.headers if fits else [""] * len(texts)
                 self.out.append(("table_row", "; ".join(f"{h}={t}" if h else t for h, t in zip(named, texts))))
+            else:
+                self._refuse("an empty row")
             self.cells = None
         elif tag == "table":
             self.headers = []
@@ -130,7 +170,7 @@ class _Blocks(HTMLParser):
         text = "".join(self.parts)
         text = text.strip("\n") if self.kind == "code" else " ".join(text.split())
         if self.kind and text:
-            self.out.append((self.kind, text))
+            self.out.append(("prose" if self.kind == "loose" else self.kind, text))
         self.kind, self.parts = None, []
 
     def finish(self) -> list[tuple[str, str]]:
@@ -139,36 +179,48 @@ class _Blocks(HTMLParser):
         return self.out
 
 
-def parse_html(page: str | None) -> list[tuple[str, str]]:
-    parser = _Blocks()
+def parse_html(page: str | None, strict: bool = False) -> list[tuple[str, str]]:
+    """Blocks (kind, text) of a page; strict refuses what has no clear place, else it is kept as prose."""
+    parser = _Blocks(strict)
     parser.feed(page or "")
     return parser.finish()
 
 
-def parse_markdown(text: str | None) -> list[tuple[str, str]]:
-    """Headings, fenced code and paragraphs."""
+def parse_markdown(text: str | None, strict: bool = False) -> list[tuple[str, str]]:
+    """Headings (one to six signs and a space), fenced code and paragraphs; strict refuses a fence that is left open."""
     out, held, fence = [], [], None
-    for line in [*(text or "").split("\n"), ""]:
+
+    def paragraph() -> None:
+        if held:
+            out.append(("prose", " ".join(" ".join(held).split())))
+            held.clear()
+
+    for line in (text or "").split("\n"):
         if fence is not None:
             if line.strip().startswith(fence):
                 out.append(("code", "\n".join(held)))
-                held, fence = [], None
+                fence = None
+                held.clear()
             else:
                 held.append(line)
             continue
+        signs = len(line) - len(line.lstrip("#"))
+        heading = 1 <= signs <= 6 and line[signs : signs + 1] == " "
         opens = line.strip()[:3] in ("```", "~~~")
-        if opens or line.startswith("#") or not line.strip():
-            if held:
-                out.append(("prose", " ".join(" ".join(held).split())))
-                held = []
+        if heading or opens or not line.strip():
+            paragraph()
             if opens:
                 fence = line.strip()[:3]
-            elif line.startswith("#"):
-                out.append(("heading", line.lstrip("#").strip()))
+            elif heading:
+                out.append(("heading", line[signs:].strip()))
         else:
             held.append(line)
     if fence is not None:
-        out.append(("code", "\n".join(held[:-1])))
+        if strict:
+            raise ValueError("a fence is left open")
+        out.append(("code", "\n".join(held)))
+        held.clear()
+    paragraph()
     return out
 
 

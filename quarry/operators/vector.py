@@ -149,12 +149,14 @@ SPLIT_SAMPLE = 20_000
 
 
 def median_splits(rows: DataFrame, leaves: int, sample: int = SPLIT_SAMPLE) -> list[tuple]:
-    """Splits of a tree (node, axis, value, is_leaf) at the median of the widest axis, from a bounded sample.
+    """Splits of a tree (node, axis, value) at the median of the widest axis, from a bounded sample.
 
     Node i has children 2 i + 1 (below the value) and 2 i + 2; leaves are numbered as nodes.
     """
     got = rows.orderBy(F.xxhash64("item"), "item").select("v").limit(sample).collect()
-    x = np.array([r["v"] for r in got], np.float64).reshape(len(got), -1)
+    if not got:
+        return []
+    x = np.array([r["v"] for r in got], np.float64)
     out, todo = [], [(0, np.arange(len(x)), leaves)]
     while todo:
         node, at, n = todo.pop()

@@ -101,10 +101,10 @@ def _planes(tables: int, bits: int) -> str:
     return " UNION ALL ".join(f"SELECT vec_id, v, {t} AS t, {' + '.join(bit(t, b) for b in range(bits))} AS sig FROM e" for t in range(tables))
 
 
-@plan(f"""{BASE}, k AS ({_planes(24, 4)}), s AS (SELECT DISTINCT b.vec_id AS query_id, a.vec_id, a.v, b.v AS q FROM k a JOIN k b ON a.t = b.t AND a.sig = b.sig WHERE b.vec_id % 20 = 0), c AS (SELECT query_id, vec_id, {COS} AS score FROM s)
+@plan(f"""{BASE}, k AS ({_planes(16, 3)}), s AS (SELECT DISTINCT b.vec_id AS query_id, a.vec_id, a.v, b.v AS q FROM k a JOIN k b ON a.t = b.t AND a.sig = b.sig WHERE b.vec_id % 20 = 0), c AS (SELECT query_id, vec_id, {COS} AS score FROM s)
 SELECT query_id, vec_id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM c) WHERE rank <= 5""")
 def lsh_search(spark, d):
-    return scored(X.lsh(rows(spark, d), asked(spark, d), 5, 24, 4))
+    return scored(X.lsh(rows(spark, d), asked(spark, d), 5, 16, 3))
 
 
 def lists(spark, d):
@@ -134,7 +134,7 @@ def ann_recall(spark, d):
     near, cosine = X.knn(r, q, 10, "l2"), X.knn(r, q, 10)
     coded = X.pq_encode(X.residuals(r, lists(spark, d)), books(spark, d))
     found = {"ivf": X.ivf(r, q, lists(spark, d), 10, 6), "hnsw": X.hnsw(r, q, 10), "adc_rerank": X.adc(coded, q, lists(spark, d), books(spark, d), 10, DEPTH)}
-    out = X.recall(X.lsh(r, q, 10, 24, 4), cosine, 10).agg(F.lit("lsh").alias("name"), F.avg("recall").alias("recall"))
+    out = X.recall(X.lsh(r, q, 10, 16, 3), cosine, 10).agg(F.lit("lsh").alias("name"), F.avg("recall").alias("recall"))
     for name, got in found.items():
         out = out.union(X.recall(got, near, 10).agg(F.lit(name).alias("name"), F.avg("recall").alias("recall")))
     return out
