@@ -175,12 +175,22 @@ class Encoder:
         return flat, np.diff(ends[at - at[0]])
 
 
+_KEPT: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process, so that a task goes on with the words that earlier ones learned."""
+    if path not in _KEPT:
+        _KEPT[path] = Encoder(path)
+    return _KEPT[path]
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, planes: str = "byte") -> None:
     """Encode whole texts and write the store: part, record, doc_ids, n_tokens, ids."""
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         part, record, before = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
