@@ -64,7 +64,7 @@ def test_windows_stop_at_the_tail(spark):
 
 def test_html_and_markdown_blocks():
     page = "<html><head><title>x</title></head><body><nav>no</nav><h1>T</h1><p>a <b>b</b></p><table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td>2</td></tr></table><pre>c\n d</pre></body></html>"
-    assert segments.parse_html(page) == [("heading", "T"), ("prose", "a b"), ("table_row", "k=1; v=2"), ("code", "c\n d")]
+    assert segments.parse_html(page) == [("heading", "T"), ("prose", "a b"), ("table_header", "k | v"), ("table_row", "k=1; v=2"), ("code", "c\n d")]
     assert segments.parse_markdown("# H\ntext\nmore\n\n```\ncode\n```") == [("heading", "H"), ("prose", "text more"), ("code", "code")]
 
 
@@ -118,9 +118,9 @@ def test_routes(spark):
 
 
 def test_admission_order(spark):
-    rows = [(0, 1, "x", "k", "k", ["A-1"], ["A-1"]), (0, 2, "y", "z", "k", ["A-1"], ["A-1"]), (0, 3, "w", "k", "k", [], ["A-1"]), (0, 4, "x", "k", "k", ["A-1"], ["A-1"]), (0, 5, "v", "k", "k", ["A-1"], ["A-1"])]
-    df = spark.createDataFrame(rows, "query_id long, n int, text string, lock string, expected string, kept array<string>, needed array<string>")
-    assert [r["reason"] for r in queries.admit(df, max_branches=1).orderBy("n").collect()] == ["accepted", "anchor", "protected_atom", "duplicate", "branch_budget"]
+    rows = [(0, 1, "x"), (0, 2, "y"), (0, 3, "w B-2"), (0, 4, "X"), (0, 5, "v")]
+    df = spark.createDataFrame([(*r, "z" if r[1] == 2 else "k", "k", "the original A-1") for r in rows], "query_id long, n int, text string, lock string, expected string, original string")
+    assert [r["reason"] for r in queries.admit(df, max_branches=2).orderBy("n").collect()] == ["accepted", "anchor", "protected_atom", "duplicate", "branch_budget"]
 
 
 LOG = [(1, 1, "a", "p", 1), (1, 3, "b", "p", 2), (1, 2, "c", "p", 3), (1, 3, "d", "p", 4), (1, 3, "e", "q", 5), (1, 1, "a", "p", 6), (2, 1, "f", "p", 1)]
