@@ -1,20 +1,21 @@
-"""Near copies by the share of common shingles: min-hash bands propose, exact sets decide.
-
-1. One narrow pass over the texts: the least of each of ``bands * ROWS`` linear maps of the
-   shingles' hashes, folded to one number a band.  The count of bands follows from the
-   similarity, so that a pair just at it is missed with a chance of ``MISS`` at most.
-2. Texts that are equal are one node.  Each bucket (band and number) has its smallest node
-   as head, and each member is compared with the heads of its buckets: never more pairs
-   than bands times texts.  A head's members are dealt to tasks by ``DEAL`` at once, each
-   with the head's text, and go through one by one: a task holds one head and one member.
-3. A bucket whose members are still of more than one group has pairs that no head has seen.
-   These few buckets are compared whole, in blocks of about ``BLOCK_BYTES`` of text and ``BLOCK_ROWS`` rows; a larger
-   bucket is dealt as pairs of blocks, so every pair meets and no task holds more than two.
-4. The components of all links are the groups.
-
-SimHash would not do here: at a similarity of 0.8 about ten of 64 bits differ, give or take
-three, and a bound that lets few such pairs escape leaves no block on which they agree, nor
-a pivot distance that discards anything.
+"""Near copies by the share of common shingles: SimHash and pivots propose, exact sets decide.
+
+1. One narrow pass over the texts: a SimHash of ``64 * WORDS`` bits of the distinct shingles.
+   A bit differs with a chance that the similarity bounds (``flips``); 64 bits would be too
+   few: a pair at 0.8 differs in ten, give or take three, and so do many that are unlike.
+2. Fingerprints meet in buckets: all bits of a block agree.  Blocks have more bits as texts
+   are more, so that a bucket of unlike texts holds about ``ROWS``; the count of blocks
+   follows, so that a pair just at the similarity is missed with a chance of ``MISS``.
+   In a bucket, tables of distances to pivots, members of the bucket, discard pairs
+   (``pivots``), and the first ``CHECK`` words decide on the others.  What is linked is a cell.
+3. Texts that are equal are one node.  Each cell has its smallest node as head, and each
+   member is compared with the heads of its cells: never more pairs than blocks times texts.
+   A head's members are dealt to tasks by ``DEAL`` at once, each with the head's text, and
+   go through one by one: a task holds one head and one member.
+4. A cell whose members are still of more than one group has pairs that no head has seen.
+   These few cells are compared whole, in blocks of about ``BLOCK_BYTES`` of text and ``BLOCK_ROWS`` rows; a larger
+   cell is dealt as pairs of blocks, so every pair meets and no task holds more than two.
+5. The components of all links are the groups.
 
 Defined results: words and case as in ``simhash``; a text of fewer words than the width is
 one shingle; null and blank texts have no shingle and are copies of each other; an empty
@@ -36,11 +37,20 @@ from pyspark.sql import functions as F
 from quarry.llm.common import parts, settle
 from quarry.llm.components import connected_components
 from quarry.llm.kernels import mix
+from quarry.llm.pivots import clusters
 
 SEED = 42
-ROWS = 5
 MISS = 1e-4
-STEP = 2048
+#: Words of a fingerprint, and how many of them decide; unlike texts of a bucket.
+WORDS, CHECK, ROWS = 16, 4, 64
+#: Texts of at most so many shingles meet in blocks of their own as well, with a wider bound.
+FEW = 5
+_STREAMS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_FPS = [f"fp{i}" for i in range(CHECK)]
+#: Blocks of texts of few shingles are numbered from here.
+_OWN = 1 << 20
+#: The bits of a byte, each in a byte of its own.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 #: Members of one head in one task.
 DEAL = 64
 #: Bytes of text, and rows, of a block of a bucket that is compared whole.
@@ -48,9 +58,46 @@ BLOCK_BYTES = 16_000_000
 BLOCK_ROWS = 256
 
 
-def bands(similarity: float) -> int:
-    """Bands of ROWS minima that a pair at the similarity escapes with a chance of MISS."""
-    return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log1p(-(similarity**ROWS)))
+def flips(similarity: float, few: bool) -> float:
+    """The largest chance that a bit of two texts at the similarity differs.
+
+    The angle of two sets is largest where they are of one size.  Ties of even sizes add to
+    it: at 0.8 by 0.0097 at most (12 of 15 shingles), and by 0.0361 for four of five.
+    """
+    return 0.0 if similarity >= 1 else math.acos(2 * similarity / (1 + similarity)) / math.pi + (0.037 if few else 0.01)
+
+
+def bands(similarity: float, size: int, few: bool) -> int:
+    """Blocks of so many bits that a pair at the similarity escapes with a chance of MISS."""
+    meet = (1 - flips(similarity, few)) ** size
+    return 1 if meet >= 1 else math.ceil(math.log(MISS) / math.log1p(-meet))
+
+
+def block_bits(nodes: int) -> int:
+    """Bits of a block, so that about ROWS of so many unlike texts agree on them."""
+    return min(24, max(8, round(math.log2(max(nodes, 1) / ROWS))))
+
+
+def bound(similarity: float, few: bool) -> int:
+    """Bits that may differ in CHECK words: four deviations over the mean."""
+    p, n = flips(similarity, few), 64 * CHECK
+    return math.ceil(n * p + 4 * math.sqrt(n * p * (1 - p)))
+
+
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of a set of hashes, as bytes: a bit is set where over half of them have it."""
+    total = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(hashes), 255):  # a lane counts to 255
+        some = mix(hashes[i : i + 255, None] + _STREAMS)
+        total += _LANES[some.view(np.uint8)].sum(axis=0).view(np.uint8)
+    return np.packbits(total * 2 > len(hashes), bitorder="little")
+
+
+def places(blocks: int, size: int) -> np.ndarray:
+    """The bits of each block, by a rule: none is taken again before all are taken."""
+    n = 64 * WORDS
+    turns = [np.argsort(mix(np.arange(n * t + 1, n * t + n + 1, dtype=np.uint64)), kind="stable") for t in range(-(-blocks * size // n))]
+    return np.concatenate(turns)[: blocks * size].reshape(blocks, size)
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -67,29 +114,73 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(np.array([one(joined[i:j], SEED) for i, j in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64))
 
 
-def minima(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The least of n linear maps of the hashes; all ones where there is no hash."""
-    seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    a, b = seeds[:n] | np.uint64(1), seeds[n:]
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), STEP):
-        np.minimum(least, (hashes[i : i + STEP, None] * a + b).min(axis=0), out=least)
-    return least
+def _signed(rows: DataFrame, width: int) -> DataFrame:
+    """node, bytes of its text, whether it has few shingles, and the fingerprint, of rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            few, found = [], []
+            for t in b["text"].cast(pa.binary()):
+                own = shingles(t.as_py(), width)
+                few.append(len(own) <= FEW)
+                found.append(fingerprint(own).tobytes())
+            sizes = pc.fill_null(pc.binary_length(b["text"]), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b["node"], sizes, pa.array(few, pa.bool_()), pa.array(found, pa.binary())], names=["node", "bytes", "few", "print"])
+
+    return rows.mapInArrow(run, "node long, bytes long, few boolean, print binary")
 
 
-def _buckets(rows: DataFrame, width: int, n: int) -> DataFrame:
-    """node, bytes of its text and one number a band, of rows (node, text)."""
-    spread = mix(np.arange(1, n * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+def _dealt(signed: DataFrame, size: int, similarity: float) -> DataFrame:
+    """key, node and the CHECK words, a row for each block."""
+    usual, more = bands(similarity, size, False), bands(similarity, size, True)
+    at, powers = places(usual + more, size), (1 << np.arange(size)).astype(np.float32)
+    names = np.arange(usual + more) + np.where(np.arange(usual + more) < usual, 0, _OWN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), 1024):
+                b = whole.slice(a, 1024)
+                raw = np.frombuffer(b"".join(b["print"].to_pylist()), np.uint8).reshape(len(b), 8 * WORDS)
+                bits = np.unpackbits(raw, axis=1, bitorder="little")
+                keys = np.stack([(bits[:, x] @ powers).astype(np.int64) + (int(k) << 32) for k, x in zip(names, at)], axis=1)
+                n = np.where(b["few"].to_numpy(zero_copy_only=False), usual + more, usual)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(keys[np.arange(usual + more) < n[:, None]]))
+                words = [pa.array(x) for x in np.ascontiguousarray(raw[:, : 8 * CHECK]).view(np.int64).T]
+                yield pa.RecordBatch.from_arrays([b["node"], lists, *words], names=["node", "keys", *_FPS])
+
+    rows = signed.mapInArrow(run, "node long, keys array<long>, " + ", ".join(f"{c} long" for c in _FPS))
+    return rows.select(F.explode("keys").alias("key"), "node", *_FPS)
+
+
+def _cells(rows: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, node) of cells of two or more, of rows in runs of equal keys; a run may go on in the next batch."""
+
+    usual, wide = bound(similarity, False), bound(similarity, True)
+
+    def found(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        label = clusters(keys, fps, np.where(keys >> 32 < _OWN, usual, wide))
+        many = np.bincount(label, minlength=len(keys))[label] > 1
+        cell = mix(mix(keys.view(np.uint64)) ^ nodes[label].view(np.uint64))[many]
+        return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(nodes[many])], names=["bucket", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for b in batches:
-            found = [mix((minima(shingles(t, width), n * ROWS) * spread).reshape(n, ROWS).sum(axis=1)) for t in b["text"].cast(pa.binary()).to_pylist()]
-            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * n, pa.int32()), pa.array(flat))
-            sizes = pc.fill_null(pc.binary_length(b["text"]), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b["node"], sizes, lists], names=["node", "bytes", "buckets"])
+            if not len(b):
+                continue
+            now = [np.asarray(b["key"]), np.asarray(b["node"]), np.stack([np.asarray(b[c]).view(np.uint64) for c in _FPS], axis=1)]
+            last = int(np.searchsorted(now[0], now[0][-1], side="left"))
+            if held and (last or now[0][0] != held[0][0][0]):
+                # the held run ends here: whole runs are searched, the last one is held
+                yield found(*(np.concatenate(x) for x in zip(*held, [x[:last] for x in now])))
+                held = []
+            elif last:
+                yield found(*(x[:last] for x in now))
+            held.append([x[last:] for x in now])
+        if held:
+            yield found(*(np.concatenate(x) for x in zip(*held)))
 
-    return rows.mapInArrow(run, "node long, bytes long, buckets array<long>")
+    return rows.mapInArrow(run, "bucket long, node long")
 
 
 def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -161,20 +252,21 @@ def _head_links(rows: DataFrame, width: int, similarity: float) -> DataFrame:
 
 
 def _block_links(rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(src, dst) of rows (key, node, text) in runs of equal keys."""
+    """(src, dst), groups that a link joins, of rows (key, group, text) in runs of equal keys."""
 
     def found(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        return _arrays([(held[i][0], held[j][0]) for i, j in linked([x for _, x in held], similarity)])
+        pairs = {tuple(sorted((held[i][0], held[j][0]))) for i, j in linked([x for _, x in held], similarity)}
+        return _arrays([(a, b) for a, b in pairs if a != b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
-            for key, node, t in zip(b["key"].to_pylist(), b["node"].to_pylist(), b["text"].cast(pa.binary())):
+            for key, group, t in zip(b["key"].to_pylist(), b["group"].to_pylist(), b["text"].cast(pa.binary())):
                 if key != now and held:
                     yield found(held)
                     held = []
                 now = key
-                held.append((node, shingles(t.as_py(), width)))
+                held.append((group, shingles(t.as_py(), width)))
         if held:
             yield found(held)
 
@@ -186,9 +278,11 @@ def groups(docs: DataFrame, width: int, similarity: float, deal: int = DEAL, blo
 
     Rows of one node have one text; the component is its smallest node.
     """
-    spark, n = docs.sparkSession, bands(similarity)
-    signed = settle(_buckets(docs, width, n).dropDuplicates(["node"]))
-    rows = signed.select("node", "bytes", F.posexplode("buckets").alias("band", "number")).select("node", "bytes", F.xxhash64("band", "number").alias("bucket"))
+    spark = docs.sparkSession
+    signed = settle(_signed(docs, width).dropDuplicates(["node"]))
+    dealt = _dealt(signed, block_bits(signed.count()), similarity)
+    cells = settle(_cells(dealt.repartition(parts(spark), "key").sortWithinPartitions("key", "node"), similarity))
+    rows = settle(cells.join(signed.select("node", "bytes"), "node"))
     heads = settle(rows.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("members"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("a"), F.sum(F.xxhash64(F.col("node") + 1) % (1 << 31)).alias("b")).filter("members > 1"))
     members = settle(rows.select("node", "bucket").join(heads.select("bucket", "head"), "bucket"))
     pairs = settle(members.filter("node != head").select("head", "node").distinct())
@@ -212,8 +306,10 @@ def groups(docs: DataFrame, width: int, similarity: float, deal: int = DEAL, blo
         return first
     at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = members.join(left, "bucket").select("bucket", "node", at.alias("at"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = settle(met.select(F.struct("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")).alias("key"), "node"))
+    met = met.join(first, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    met = settle(met.select(F.struct("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")).alias("key"), "node", "group"))
     texts = one.join(met.select("node").distinct(), "node", "left_semi")
-    sent = met.join(texts, "node").select(F.concat_ws(":", "key.bucket", "key.i", "key.j").alias("key"), "node", "text")
+    sent = met.join(texts, "node").select(F.concat_ws(":", "key.bucket", "key.i", "key.j").alias("key"), "group", "text")
     more = _block_links(sent.repartition(parts(spark), "key").sortWithinPartitions("key"), width, similarity)
-    return connected_components(links.union(first.select(F.col("component").alias("src"), F.col("node").alias("dst"))).union(more))
+    # what is known goes as groups, so that a block adds no link within one
+    return connected_components(first.select(F.col("component").alias("src"), F.col("node").alias("dst")).union(more))

@@ -6,7 +6,7 @@
    six buckets hold each representative.  A bucket of more than ``HOT`` members is dealt
    again by its distances to two pivots, which differ by at most two for linked ones.
 4. In a bucket, rows are sorted by the distance to one reference fingerprint; a table of
-   Hamming distances to ``PIVOTS`` references discards pairs whose largest coordinate
+   Hamming distances to references (``pivots``) discards pairs whose largest coordinate
    difference is over two; survivors are verified bit by bit.  A walk over unvisited
    rows gives a spanning forest: never more links than rows.
 5. Components over fingerprints, each named by its smallest doc_id, then back to all documents.
@@ -29,15 +29,12 @@ from pyspark.sql import functions as F
 from quarry.llm import copies
 from quarry.llm.common import doc_texts, parts, settle
 from quarry.llm.components import connected_components
-from quarry.llm.kernels import mix
+from quarry.llm.pivots import REFERENCES, linked
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
-PIVOTS = 16
 HOT = 4096
-#: Reference fingerprints, from a rule.
-REFERENCES = mix(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -71,29 +68,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return doc_texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def linked(values: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """A spanning forest of the links among fingerprints, as pairs of places."""
-    table = np.bitwise_count(values[:, None] ^ REFERENCES[None, :]).astype(np.int8)
-    order = np.argsort(table[:, 0], kind="stable")
-    table, values = table[order], values[order]
-    rest = np.arange(len(values))
-    out = []
-    while len(rest):
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            x = front.pop()
-            lo = np.searchsorted(table[rest, 0], table[x, 0] - bits, side="left")
-            hi = np.searchsorted(table[rest, 0], table[x, 0] + bits, side="right")
-            near = rest[lo:hi]
-            near = near[np.abs(table[near, 1:] - table[x, 1:]).max(axis=1) <= bits] if len(near) else near
-            near = near[np.bitwise_count(values[near] ^ values[x]) <= bits]
-            if len(near):
-                out += [(int(order[x]), int(order[y])) for y in near]
-                rest = rest[~np.isin(rest, near, assume_unique=True)]
-                front += near.tolist()
-    return out
-
-
 def _links_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within runs of equal keys; a run may go on in the next batch."""
 
@@ -102,7 +76,7 @@ def _links_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         src, dst = [], []
         for k in np.flatnonzero(np.diff(cut) > 1):
             a, b = cut[k], cut[k + 1]
-            for i, j in linked(fps[a:b]):
+            for i, j in linked(fps[a:b], MAX_BITS):
                 src.append(int(ids[a + i]))
                 dst.append(int(ids[a + j]))
         return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
@@ -158,7 +132,8 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     """One document of each group of near copies: the first by doc_id, then by the text's hash.
 
     Near copies share at least ``similarity`` of their shingles of ``width`` words (Jaccard);
-    their fingerprints are mostly further apart than ``MAX_BITS``, so ``copies`` finds them.
+    their fingerprints are mostly further apart than ``MAX_BITS``, so ``copies`` takes wider
+    ones and a wider bound, with pivots as here, and compares what is left exactly.
     A group is made of texts, whatever their ids: different texts with one doc_id, or with
     none, are as apart as any.  A row without a doc_id comes last in its group.  Of repeated
     rows with the first's doc_id and text one stays; all columns stay.

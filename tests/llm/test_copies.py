@@ -2,7 +2,9 @@
 
 import random
 
-from quarry.llm import copies, simhash
+import numpy as np
+
+from quarry.llm import copies, kernels, pivots, simhash
 
 
 def sets(text, width=5):
@@ -78,3 +80,64 @@ def test_a_row_without_an_id_links_others(spark):
     x, y, z = next((x, y, z) for y in near for x in near for z in near if 0 < bits(x, y) <= 2 and 0 < bits(y, z) <= 2 and bits(x, z) > 2)
     df = spark.createDataFrame([(1, x), (None, y), (2, z)], "doc_id long, text string")
     assert {r["component_id"] for r in simhash.near_duplicates(df).collect()} == {1}
+
+
+def test_the_stage_goes_by_simhash_and_pivots(spark, sf, monkeypatch):
+    """Fingerprints that agree nowhere leave nothing to compare, and those of all texts are made."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:30], f"x{i}", *base[30:]])) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = [sets(t) for _, t in rows]
+    assert len(shared[0] & shared[1]) >= 0.8 * len(shared[0] | shared[1])
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, sf).collect()] == [0]
+    assert copies.clusters is pivots.clusters
+    monkeypatch.setattr(copies, "bound", lambda similarity, few: -1)
+    assert corpus_pipeline.drop_near_duplicates(spark, df, sf).count() == 4
+
+
+def test_fingerprints_and_their_chances():
+    rng = np.random.default_rng(13)
+    h = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    for n in (0, 1, 4, 255, 700):
+        x = kernels.mix(h[:n, None] + copies._STREAMS)
+        bits = np.unpackbits(x.view(np.uint8).reshape(n, 8 * copies.WORDS), axis=1, bitorder="little").sum(axis=0, dtype=int) * 2 > n
+        assert np.unpackbits(copies.fingerprint(h[:n]), bitorder="little").tolist() == bits.tolist()
+    for shared, one, two in ((4, 0, 1), (8, 1, 1), (12, 0, 3), (80, 10, 10), (400, 0, 100)):  # all at 0.8
+        far = []
+        for _ in range(60):
+            a = rng.integers(0, 2**63, shared + one + two, dtype=np.uint64)
+            x, y = (np.unpackbits(copies.fingerprint(v)) for v in (a[: shared + one], np.concatenate([a[:shared], a[shared + one :]])))
+            far.append((x != y).sum())
+        few = shared + max(one, two) <= copies.FEW
+        assert np.mean(far) / (64 * copies.WORDS) < copies.flips(0.8, few) + 0.003
+
+
+def test_clusters_against_brute_force():
+    rng = np.random.default_rng(14)
+    keys, rows = [], []
+    for key, n in enumerate((1, 2, 60, 900, 30)):  # the fourth is searched by a walk
+        seeds = rng.integers(0, 2**63, (max(1, n // 20), 4), dtype=np.uint64)
+        for _ in range(n):
+            v = np.unpackbits(seeds[rng.integers(len(seeds))].view(np.uint8))
+            v[rng.choice(256, rng.integers(0, 60), replace=False)] ^= 1
+            rows.append(np.packbits(v).view(np.uint64))
+            keys.append(key)
+    keys, v = np.array(keys), np.array(rows)
+    near = (np.bitwise_count(v[:, None] ^ v[None]).sum(axis=-1) <= 65) & (keys[:, None] == keys[None])
+    want = np.arange(len(keys))
+    while (now := np.where(near, want[None], len(keys)).min(axis=1)).tolist() != want.tolist():
+        want = now
+    assert pivots.clusters(keys, v, np.full(len(keys), 65)).tolist() == want.tolist()
+    assert len(set(want.tolist())) > 30
+
+
+def test_short_texts_just_at_the_similarity_meet(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(150):  # four of five shingles shared
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:8]))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 300, 2))
