@@ -28,13 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quarry.llm.common import doc_texts
-from quarry.llm.kernels import _powers, chunks, lookup, mix, strings, utf8
+from quarry.llm.common import doc_texts, release
+from quarry.llm.kernels import CHUNK_BYTES, _powers, chunks, lookup, mix, strings, utf8
 
 MARK = "▁"
 ALPHA = 1.0
 #: Words whose lattices are filtered in one step; the tables stay in the processor's cache.
 BLOCK_WORDS = 4096
+#: Text at once in the pipeline, whose workers and JVM hold what earlier stages left: tables take about 100 bytes a byte.
+STAGE_BYTES = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -264,9 +266,9 @@ def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def _worked(batch: pa.RecordBatch, sampler: Sampler) -> Iterator[tuple]:
-    """(rows, ids, counts, decoded bytes and offsets, texts' bytes and offsets) for each run of rows."""
-    for a, b in chunks(batch["text"]):
+def _worked(batch: pa.RecordBatch, sampler: Sampler, limit: int = CHUNK_BYTES) -> Iterator[tuple]:
+    """(rows, ids, counts, decoded bytes and offsets, texts' bytes and offsets) for each run of rows of so many bytes."""
+    for a, b in chunks(batch["text"], limit):
         column = batch["text"].slice(a, b - a)
         keys = np.asarray(pc.fill_null(batch["doc_id"].slice(a, b - a).cast(pa.int64()), -1))
         ids, counts = sampler.encode(column, keys)
@@ -299,13 +301,15 @@ def encode_documents(docs: DataFrame, model: str, alpha: float = ALPHA, seed: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(model, alpha, seed)
+        release()
         for batch in batches:
-            for rows, ids, counts, raw, at, _, _ in _worked(batch, sampler):
+            for rows, ids, counts, raw, at, _, _ in _worked(batch, sampler, STAGE_BYTES):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.large_string()).cast(part["text"].type)
                 text = pc.if_else(pc.is_null(part["text"]), pa.scalar(None, text.type), text)
                 pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
                 columns = [text if n == "text" else part[n] for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pieces], names=[*names, "piece_ids"])
+        release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
