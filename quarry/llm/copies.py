@@ -13,8 +13,11 @@
    A head's members are dealt to tasks by ``DEAL`` at once, each with the head's text, and
    go through one by one: a task holds one head and one member.
 4. A cell whose members are still of more than one group has pairs that no head has seen.
-   These few cells are compared whole, in blocks of about ``BLOCK_BYTES`` of text and ``BLOCK_ROWS`` rows; a larger
-   cell is dealt as pairs of blocks, so every pair meets and no task holds more than two.
+   Blocks of bits repeat the same texts, so such cells that share a group are one web, in which
+   a text is once; where its cells apart are fewer rows to deal, they stay apart.  A web is compared
+   whole, where it has up to about ``BLOCK_BYTES`` of text and ``BLOCK_ROWS`` rows; a larger one
+   is dealt as pairs of blocks of half as much, so every pair of two groups meets.
+   Blocks of its largest group do not meet each other: what is linked is not dealt by its square.
 5. The components of all links are the groups.
 
 Defined results: words and case as in ``simhash``; a text of fewer words than the width is
@@ -53,7 +56,7 @@ _OWN = 1 << 20
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 #: Members of one head in one task.
 DEAL = 64
-#: Bytes of text, and rows, of a block of a bucket that is compared whole.
+#: Bytes of text, and rows, of what is compared whole: a web or cell, or a pair of blocks of a larger one.
 BLOCK_BYTES = 16_000_000
 BLOCK_ROWS = 256
 
@@ -273,6 +276,39 @@ def _block_links(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "src long, dst long")
 
 
+def _sized(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """unit, its largest group (main), blocks of that group and of the rest, and the rows dealt, of rows (unit, bytes, group)."""
+    each = rows.groupBy("unit", "group").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    whole = each.groupBy("unit").agg(F.max(F.struct("n", "group", "b")).alias("top"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    # a pair of blocks is to have no more than what is one block alone
+    blocks = lambda n, b: F.ceil(2 * F.greatest(b / block_bytes, n / BLOCK_ROWS)).cast("int")
+    n, b = F.col("n") - F.col("top.n"), F.col("b") - F.col("top.b")
+    fits = blocks(F.col("n"), F.col("b")) <= 2
+    sized = whole.select("unit", "top", "n", F.when(fits, 0).otherwise(blocks(F.col("top.n"), F.col("top.b"))).alias("wide"), F.when(fits, 1).otherwise(blocks(n, b)).alias("rest"))
+    dealt = F.when(F.col("wide") == 0, F.col("n")).otherwise(F.col("top.n") * F.col("rest") + n * (F.col("rest") + F.col("wide")))
+    return sized.select("unit", F.col("top.group").alias("main"), "wide", "rest", dealt.alias("dealt"))
+
+
+def _met(held: DataFrame, block_bytes: int) -> DataFrame:
+    """key (unit, i, j), node and group: a row for each pair of blocks that a text is in, of rows (bucket, web, node, bytes, group).
+
+    Units are webs, or the buckets of a web where these are fewer rows.
+    """
+    texts = held.dropDuplicates(["node"]).select(F.col("web").alias("unit"), "node", "bytes", "group")
+    cells = held.withColumnRenamed("bucket", "unit")
+    webs, buckets = settle(_sized(texts, block_bytes)), settle(_sized(cells, block_bytes))
+    apart = buckets.join(held.select(F.col("bucket").alias("unit"), "web").distinct(), "unit").groupBy("web").agg(F.sum("dealt").alias("apart"))
+    apart = settle(webs.join(apart.withColumnRenamed("web", "unit"), "unit").filter("apart < dealt").select("unit"))
+    cells = cells.join(apart.withColumnRenamed("unit", "web"), "web", "left_semi").select("unit", "node", "group").join(buckets, "unit")
+    rows = texts.select("unit", "node", "group").join(webs.join(apart, "unit", "left_anti"), "unit").unionByName(cells)
+    # the rest is in blocks from 0 on and meets all blocks; the main group's come after, and meet the rest only
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    at = F.when((F.col("wide") > 0) & (F.col("group") == F.col("main")), F.col("rest") + place(F.greatest("wide", F.lit(1)))).otherwise(place(F.col("rest")))
+    last = F.when(F.col("at") >= F.col("rest"), F.col("rest")).otherwise(F.col("rest") + F.col("wide")) - 1
+    rows = rows.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.select(F.struct("unit", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")).alias("key"), "node", "group")
+
+
 def groups(docs: DataFrame, width: int, similarity: float, deal: int = DEAL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(node, component) of nodes that are near copies of others, over rows (node, text).
 
@@ -283,8 +319,8 @@ def groups(docs: DataFrame, width: int, similarity: float, deal: int = DEAL, blo
     dealt = _dealt(signed, block_bits(signed.count()), similarity)
     cells = settle(_cells(dealt.repartition(parts(spark), "key").sortWithinPartitions("key", "node"), similarity))
     rows = settle(cells.join(signed.select("node", "bytes"), "node"))
-    heads = settle(rows.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("members"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("a"), F.sum(F.xxhash64(F.col("node") + 1) % (1 << 31)).alias("b")).filter("members > 1"))
-    members = settle(rows.select("node", "bucket").join(heads.select("bucket", "head"), "bucket"))
+    heads = settle(rows.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("a"), F.sum(F.xxhash64(F.col("node") + 1) % (1 << 31)).alias("b")).filter("members > 1"))
+    members = settle(rows.join(heads.select("bucket", "head"), "bucket"))
     pairs = settle(members.filter("node != head").select("head", "node").distinct())
     # a head's text goes along once for each part of its members
     sizes = settle(pairs.groupBy("head").agg(F.ceil(F.count("*") / deal).cast("int").alias("parts")))
@@ -298,18 +334,18 @@ def groups(docs: DataFrame, width: int, similarity: float, deal: int = DEAL, blo
     links = settle(_head_links(ordered, width, similarity))
     first = connected_components(links)
     # buckets of three or more whose other members are in one group by now have no pair left
-    known = members.filter("node != head").join(first, "node", "left").select("bucket", F.coalesce("component", "node").alias("c"))
-    open_ = known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("bucket")
+    known = settle(members.filter("node != head").join(first, "node", "left").select("bucket", "node", "bytes", F.coalesce("component", "node").alias("group")))
+    open_ = known.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low != high")
     # bands often hold the same members: one bucket of them is enough
-    left = settle(heads.join(open_, "bucket", "left_semi").dropDuplicates(["members", "a", "b"]).select("bucket", F.ceil(F.greatest(F.col("bytes") / block_bytes, F.col("members") / BLOCK_ROWS)).cast("int").alias("blocks")))
-    if left.isEmpty():
+    open_ = settle(heads.join(open_, "bucket").dropDuplicates(["members", "a", "b"]).select("bucket", "low"))
+    if open_.isEmpty():
         return first
-    at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    met = members.join(left, "bucket").select("bucket", "node", at.alias("at"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.join(first, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    met = settle(met.select(F.struct("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")).alias("key"), "node", "group"))
+    webs = connected_components(settle(known.join(open_, "bucket").select(F.col("low").alias("src"), F.col("group").alias("dst")).distinct()))
+    open_ = settle(open_.join(webs.select(F.col("node").alias("low"), F.col("component").alias("web")), "low").select("bucket", "web"))
+    held = settle(known.join(open_, "bucket").select("bucket", "web", "node", "bytes", "group"))
+    met = settle(_met(held, block_bytes))
     texts = one.join(met.select("node").distinct(), "node", "left_semi")
-    sent = met.join(texts, "node").select(F.concat_ws(":", "key.bucket", "key.i", "key.j").alias("key"), "group", "text")
-    more = _block_links(sent.repartition(parts(spark), "key").sortWithinPartitions("key"), width, similarity)
+    sent = met.join(texts, "node").select(F.concat_ws(":", "key.unit", "key.i", "key.j").alias("key"), "group", "text")
+    more = settle(_block_links(sent.repartition(parts(spark), "key").sortWithinPartitions("key"), width, similarity))
     # what is known goes as groups, so that a block adds no link within one
     return connected_components(first.select(F.col("component").alias("src"), F.col("node").alias("dst")).union(more))

@@ -141,3 +141,53 @@ def test_short_texts_just_at_the_similarity_meet(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:8]))]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 300, 2))
+
+
+def test_rows_dealt_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Many near copies and a few texts that share their buckets only: each text goes to few blocks, once."""
+    rng = random.Random(16)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(160):
+        words, n = list(base), 1 if i >= 10 else 6  # five-word shingles: the first ten are under the similarity
+        for at in rng.sample(range(0, 200, 6), n):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    s = [sets(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in range(4):
+        group = [min(group[j] for j in range(len(rows)) if alike(s[i], s[j])) for i in range(len(rows))]
+    assert group.count(max(group, key=group.count)) >= 150 and len(set(group)) > 5
+    dealt, inner = spark.sparkContext.accumulator(0), copies._block_links
+
+    def counted(rows, *rest):
+        def run(batches):
+            for b in batches:
+                dealt.add(len(b))
+                yield b
+
+        return inner(rows.mapInArrow(run, rows.schema), *rest)
+
+    monkeypatch.setattr(copies, "_block_links", counted)
+    monkeypatch.setattr(copies, "BLOCK_ROWS", 32)
+    found = {r["node"]: r["component"] for r in copies.groups(spark.createDataFrame(rows, "node long, text string"), 5, 0.8).collect()}
+    assert [found.get(i, i) for i in range(len(rows))] == group
+    assert 0 < dealt.value <= 3 * len(rows)
+
+
+def test_blocks_meet_unless_both_are_of_the_largest_group(spark, monkeypatch):
+    monkeypatch.setattr(copies, "BLOCK_ROWS", 8)
+    # a web of 40 linked and 12 others, one of two cells of few rows on a long chain, and one that fits
+    held = [(1, 1, n, 10, 1 if n < 40 else n) for n in range(52)] + [(2, 1, n, 10, 1 if n < 40 else n) for n in range(0, 52, 2)]
+    held += [(100 + n, 2, n + d, 10, n + d) for n in range(200, 260) for d in (0, 1)] + [(3, 3, n, 10, n) for n in range(300, 306)]
+    df = spark.createDataFrame(held, "bucket long, web long, node long, bytes long, group long")
+    met = [(r["key"], r["node"], r["group"]) for r in copies._met(df, 10**6).collect()]
+    at = {}
+    for key, node, _ in met:
+        at.setdefault(node, []).append(key)
+    for bucket in {b for b, *_ in held}:
+        own = [(n, g) for b, _, n, _, g in held if b == bucket]
+        assert all(set(at[n]) & set(at[m]) for n, g in own for m, h in own if g != h)
+    assert len(met) == len(set((k, n) for k, n, _ in met))
+    assert sum(200 <= n <= 260 for _, n, _ in met) == 120  # cells apart are fewer rows than the web
+    assert all(len(at[n]) <= 3 for n in range(40)) and all(len(at[n]) == 1 for n in range(300, 306))
