@@ -66,7 +66,16 @@ def bad_evidence(labels: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def plan_quality(ranked: DataFrame, relevant: DataFrame, eligible: DataFrame, exact: DataFrame, k: int) -> DataFrame:
-    """Per query of (query_id, item) rows: recall, precision, violations and recall of the exact plan's result."""
+    """Per query of (query_id, item) rows: recall, precision, violations and recall of the exact plan's result.
+
+    Eligible items without a query_id are those of every query; they are counted once.
+    """
+    if "query_id" not in eligible.columns:
+        items = eligible.select("item").distinct()
+        used = ranked.select("query_id", "item").union(relevant.select("query_id", "item")).union(exact.select("query_id", "item")).distinct()
+        rows = plan_quality(ranked, relevant, used.join(items, "item", "left_semi"), exact, k)
+        total = F.broadcast(items.agg(F.count("*").alias("eligible")))
+        return rows.drop("eligible").crossJoin(total).select(*rows.columns)
     mark = lambda df, name: df.select("query_id", "item", F.lit(1).alias(name)).distinct()
     rows = mark(ranked, "r").join(mark(relevant, "g"), ["query_id", "item"], "full").join(mark(eligible, "e"), ["query_id", "item"], "full").join(mark(exact, "x"), ["query_id", "item"], "full")
     n = lambda c: F.count_if(c)
