@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import cut
+
 #: The kinds of intervention and their variants.
 CASES = (
     ("position", "first"), ("position", "middle"), ("position", "last"), ("conflict", "newer"), ("conflict", "older"), ("instruction", "base"), ("instruction", "strict"), ("untrusted", "inline"), ("untrusted", "fenced"), ("missing", "absent"),
@@ -72,6 +78,48 @@ def audit_quotes(claims: DataFrame, docs: DataFrame) -> DataFrame:
 
 def positions(units: DataFrame, aliases: DataFrame) -> DataFrame:
     """(source, n): distinct non-space positions that units (source, start, end, text) hold; an alias counts as its source."""
-    rows = units.join(aliases.select(F.col("alias").alias("source"), F.col("source").alias("own")), "source", "left")
-    at = rows.select(F.coalesce("own", "source").alias("source"), "start", F.posexplode(F.split("text", "")).alias("i", "c"))
-    return at.filter(F.trim(F.regexp_replace("c", r"\s", "")) != "").select("source", (F.col("start") + F.col("i")).alias("p")).distinct().groupBy("source").agg(F.count("*").alias("n"))
+    rows = units.join(aliases.select(F.col("alias").alias("source"), F.col("source").alias("own")), "source", "left").select(F.coalesce("own", "source").alias("source"), F.col("start").cast("long").alias("start"), "text")
+    return held(rows).distinct().groupBy("source").agg(F.count("*").alias("n"))
+
+
+#: Places that a task remembers before it gives them out.
+REMEMBERED = 1 << 23
+SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
+
+
+def held(rows: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
+    """(source, p): places of (source, start, text) that are no space, of equal ones only a few a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for source, (low, marks) in known.items():
+                at = np.flatnonzero(marks) + low
+                for i in range(0, len(at), 1 << 16):
+                    p = pa.array(at[i : i + (1 << 16)], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([source] * len(p), pa.string()), p], names=["source", "p"])
+            known.clear()
+
+        for batch in batches:
+            for b in cut(batch, "text"):
+                for source, start, text in zip(*(b[c].to_pylist() for c in ("source", "start", "text"))):
+                    if not text or start is None:
+                        continue
+                    on = ~np.isin(np.frombuffer(text.encode("utf-32-le"), np.uint32), SPACES)
+                    low, marks = known.get(source, (start, np.zeros(0, bool)))
+                    first, last = min(low, start), max(low + len(marks), start + len(on))
+                    if last - first > len(marks):
+                        if last - first > remembered:  # far apart: what is known goes first
+                            yield from given()
+                            first, last, low, marks = start, start + len(on), start, np.zeros(0, bool)
+                        grown = np.zeros(last - first, bool)
+                        grown[low - first : low - first + len(marks)] = marks
+                        low, marks = first, grown
+                    marks[start - low : start - low + len(on)] |= on
+                    known[source] = low, marks
+                if sum(len(m) + 200 for _, m in known.values()) > remembered:
+                    yield from given()
+        yield from given()
+
+    return rows.mapInArrow(run, "source string, p long")

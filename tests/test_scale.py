@@ -7,6 +7,7 @@ import numpy as np
 from quarry.catalog import QUERIES
 from quarry.operators import fields as D
 from quarry.operators import metadata as M
+from quarry.operators import prompts as P
 from quarry.operators import vector as V
 
 
@@ -76,3 +77,31 @@ def test_shards_hold_bounded_graphs(spark):
             assert V.recall(got, near, 5).selectExpr("avg(recall)").first()[0] >= 0.9
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_positions_are_gathered_in_each_task(spark):
+    """The same places as by a row a character, and places far apart are not remembered together."""
+    texts = ["a b\tc\n\x0b\x0c\r d", "é  x😀y", "", None, "   ", "z" * 50]
+    units = spark.createDataFrame([(s, i * 7 + far, t) for far in (0, 9000) for i, t in enumerate(texts) for s in ("p", "q", "also p")], "source string, start int, text string").repartition(4)
+    alias = spark.createDataFrame([("also p", "p")], "alias string, source string")
+    want = {}
+    for r in units.collect():
+        for i, c in enumerate(r["text"] or ""):
+            if c not in " \t\n\x0b\x0c\r":
+                want.setdefault({"also p": "p"}.get(r["source"], r["source"]), set()).add(r["start"] + i)
+    assert {r["source"]: r["n"] for r in P.positions(units, alias).collect()} == {s: len(p) for s, p in want.items()}
+    rows = units.selectExpr("source", "cast(start as long) as start", "text").filter("source = 'q'")
+    for few in (1, 40, 1 << 20):
+        assert {r["p"] for r in P.held(rows, few).collect()} == want["q"]
+    one = spark.createDataFrame([("s", 0, "abc")] * 1000, "source string, start long, text string").coalesce(1)
+    assert P.held(one).count() == 3
+
+
+def test_pages_are_parsed_a_slice_at_a_time(spark):
+    import pyarrow as pa
+
+    from quarry.functions.text import cut
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x" * 400, None, "y" * 700, "z" * 5000, "", "w"])], names=["i", "t"])
+    assert [p["i"].to_pylist() for p in cut(b, "t", 1000)] == [[0, 1], [2], [3], [4, 5]]
+    assert "MapInArrow" in QUERIES["html_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
