@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.identity import digest
-from quarry.functions.text import words
+from quarry.functions.text import cut, words
 
 
 def _starts(n: Column, size: int, overlap: int) -> Column:
@@ -228,17 +228,19 @@ def blocks(pages: DataFrame, key: str, text: str, parser: str = "html") -> DataF
     """(seg, n, kind, text, start, end): blocks with half-open places in the joined body."""
     parse = parse_html if parser == "html" else parse_markdown
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for seg, page in zip(b["seg"], b["page"]):
-                at = 0
-                for n, (kind, body) in enumerate(parse(page)):
-                    rows.append((seg, n, kind, body, at, at + len(body)))
-                    at += len(body) + 2  # blocks are joined by an empty line
-            yield pd.DataFrame(rows, columns=["seg", "n", "kind", "text", "start", "end"])
-
-    return pages.select(F.col(key).cast("long").alias("seg"), F.col(text).alias("page")).mapInPandas(run, "seg long, n int, kind string, text string, start long, end long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in cut(batch, "page"):
+                rows = []
+                for seg, page in zip(b["seg"].to_pylist(), b["page"].to_pylist()):
+                    at = 0
+                    for n, (kind, body) in enumerate(parse(page)):
+                        rows.append((seg, n, kind, body, at, at + len(body)))
+                        at += len(body) + 2  # blocks are joined by an empty line
+                columns = zip(*rows) if rows else [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["seg", "n", "kind", "text", "start", "end"])
+
+    return pages.select(F.col(key).cast("long").alias("seg"), F.col(text).alias("page")).mapInArrow(run, "seg long, n int, kind string, text string, start long, end long")
 
 
 def locate(blocks_: DataFrame, spans: DataFrame) -> DataFrame:
